@@ -19,5 +19,22 @@ def op3_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents")).select(columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_best_fit_packing)}
+def op2_mix_sources(spark, sf_dir):
+    from maskloom.llm.mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark, sf_dir):
+    from maskloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+        op1_token_files,
+        op2_mix_sources,
+        op3_best_fit_packing,
+        op9_simhash,
+    )}
 ORACLE_SQL: dict[str, str] = {}
