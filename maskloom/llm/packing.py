@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.tokens import encoder, vocabulary_path
+from maskloom.llm.tokens import encoder, vocabulary_path, with_end
 from maskloom.llm.util import materialise, session
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
@@ -43,22 +43,33 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None =
     def cut(batches):
         from pyspark import TaskContext
 
-        words, end, step = encoder(tokenizer), int(end_id).to_bytes(4, "little"), 4 * capacity
-        row = TaskContext.get().partitionId() * 7919
+        words, row = encoder(tokenizer), TaskContext.get().partitionId() * 7919
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                out = []
-                for doc, data in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist())):
-                    data += end
-                    for k, a in enumerate(range(0, len(data), step)):
-                        part = data[a : a + step]
-                        row += 1
-                        out.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part), row % SALTS, part))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                cols = [pa.array(x, kind) for x, kind in zip(zip(*out), kinds)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]
-                yield pa.RecordBatch.from_arrays(cols[: 6 + ids], names[: 6 + ids])
+            docs_ = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else np.array(batch.column(0).to_pylist(), object)
+            for at, rows, tokens, ends in words.parts(batch.column(1)):
+                tokens, ends = with_end(tokens, ends, end_id)
+                n = np.diff(ends)
+                each = -(-n // capacity)
+                of = np.repeat(np.arange(rows), each)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+                start = piece * capacity
+                length = np.minimum(n[of] - start, capacity)
+                data, a = memoryview(tokens.view(np.uint8)), 4 * (ends[:-1][of] + start)
+                parts = [data[x : x + y] for x, y in zip(a.tolist(), (4 * length).tolist())]
+                salt = (row + np.arange(len(of))) % SALTS
+                row += len(of)
+                cols = [
+                    pa.array(docs_[at : at + rows][of], pa.int64()),
+                    pa.array(piece, pa.int32()),
+                    pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()),
+                    pa.array([zlib.crc32(x) for x in parts], pa.int64()),
+                    pa.array(salt, pa.int32()),
+                ]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
+                if ids:
+                    cols, names = [*cols, pa.array([bytes(x) for x in parts], pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 

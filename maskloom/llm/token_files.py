@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.tokens import encoder, vocabulary_path
+from maskloom.llm.tokens import encoder, vocabulary_path, with_end
 from maskloom.llm.util import new_path, session
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -47,25 +48,17 @@ def write_token_files(
         from pyspark import TaskContext
 
         part, start, words = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = [x + end for x in words.encode(some.column(1).to_pylist())]
-                n = [len(x) // 4 for x in ids]
-                starts, ends = [], [0]
-                for k in n:
-                    starts.append(start)
-                    start += k
-                    ends.append(ends[-1] + k)
-                values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(ids))])
+            for at, rows, ids, ends in words.parts(batch.column(1)):
+                ids, ends = with_end(ids, ends, end_id)
+                starts, start = start + ends[:-1], start + int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0).cast(pa.int64()),
-                        pa.array([part] * len(n), pa.int32()),
+                        batch.column(0).slice(at, rows),
+                        pa.array(np.full(rows, part, np.int32)),
                         pa.array(starts, pa.int64()),
-                        pa.array(n, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                        pa.array(np.diff(ends), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
                     ],
                     ["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )

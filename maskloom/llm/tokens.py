@@ -1,8 +1,9 @@
 """Encoding of whole texts with a vocabulary of the ``tokenizers`` library.
 
-The pre-tokenisers used here never join what white space separates, so a text's
-ids are its words' ids in order. Words repeat, hence each worker keeps a bounded
-table of words it has encoded; the library sees a word once, not once a row.
+The pre-tokeniser used here never joins what white space parts, so a text's ids
+are its words' ids in order. A batch is cut into words and its distinct words
+are found by Arrow; each worker keeps a bounded table of words it has encoded,
+so the library sees a word about once, not once a row.
 """
 
 from __future__ import annotations
@@ -10,10 +11,16 @@ from __future__ import annotations
 import os
 from functools import lru_cache
 
-#: Words a worker remembers; beyond it the table starts anew. Speed only.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words a worker learns before those not met since are forgotten. Speed only.
 CACHE_WORDS = 500_000
 #: Longer words are encoded each time they occur.
 CACHE_LENGTH = 64
+#: Characters of text encoded at once.
+PART = 4 << 20
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,10 +35,9 @@ def encoder(path: str) -> "WordEncoder":
 
 
 class WordEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit
-    integers. A null text has none. Strings that look like special tokens are
-    ordinary text. ``by_word`` says whether the vocabulary's pre-tokeniser
-    splits at white space and lower-cases; otherwise whole texts are encoded."""
+    """Gives texts' ids. A null text has none. Strings that look like special
+    tokens are ordinary text. A vocabulary whose normaliser is not known to keep
+    words apart encodes whole texts."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,57 +51,100 @@ class WordEncoder:
             rules = json.load(f)
         folds = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = folds == ["NFC", "Replace", "Lowercase"]
-        self.known: dict[bytes, bytes] = {}
+        ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words met lately move back to known
         self.cache_words = cache_words
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in got]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def parts(self, texts: pa.Array):
+        """(first row, number of rows, ids, offsets of rows in ids) of parts of
+        ``texts`` of bounded length, in order; a row is never parted."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + PART, side="right")))
+            yield at, to - at, *self.encode(texts.slice(at, to - at))
+            at = to
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (int32), and where each row's begin and the last's end."""
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return self._ids([x or "" for x in texts])
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            out += self._by_word(texts[at : at + 256])
-        return out
-
-    def _by_word(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.cache_words:
-            known.clear()
-        # ASCII lower-casing and splitting at ASCII white space, in one pass of C
-        split = [(x or "").encode().lower().split() for x in texts]
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self._learn(new)
-        once = [w for w in new if len(w) > CACHE_LENGTH]
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for w in once:
-            del known[w]
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Words that end in a full stop or comma after an ASCII letter are the
+            lists = pa.array([x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+            return lists.values.to_numpy(), lists.offsets.to_numpy()
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.values.dictionary_encode()
+        ids = self.lookup(coded.dictionary.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(starts), pa.Array.from_buffers(pa.int32(), int(starts[-1]), [None, pa.py_buffer(b"".join(ids))]))
+        taken = lists.take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(length[coded.indices.to_numpy()])])
+        at = words.offsets.to_numpy()
+        return taken.values.to_numpy()[taken.offsets[0].as_py() : taken.offsets[-1].as_py()] if len(taken) else np.zeros(0, np.int32), ends[at]
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as little-endian 32-bit integers."""
+        ids = list(map(self.known.get, words))
+        gone = [i for i, x in enumerate(ids) if x is None]
+        if gone:
+            if len(self.known) > self.cache_words:
+                self.older, self.known = self.known, {}
+            learnt = self._learn([words[i] for i in gone])
+            for i in gone:
+                ids[i] = learnt[words[i]]
+        return ids
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """A word that ends in a full stop or comma after an ASCII letter is the
         word's ids and the mark's: letters and marks are always apart."""
-        known = self.known
-        ends = {}
-        whole = set()
+        known, older, out = self.known, self.older, {}
+        ends, whole = {}, {}
         for w in new:
-            if len(w) > 1 and w[-1:] in (b".", b",") and w[-2:-1].isalpha():
-                ends[w] = w[:-1], w[-1:]
-                whole.update(x for x in ends[w] if x not in known)
+            if (ids := older.get(w)) is not None:
+                out[w] = ids
+            elif len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha():
+                stem, mark = ends[w] = w[:-1], w[-1]
+                for x in (stem, mark):
+                    ids = known.get(x) or older.get(x)
+                    if ids is None:
+                        whole[x] = None
+                    else:
+                        out[x] = ids
             else:
-                whole.add(w)
-        order = list(whole)
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            for w, ids in zip(some, self._ids([w.decode() for w in some])):
-                known[w] = ids
-        extra = [w for w in whole if w not in new and len(w) > CACHE_LENGTH]
+                whole[w] = None
+        letters = [w for w in whole if w.isalpha()]
+        for at in range(0, len(letters), 1024):
+            out.update(self._letters(letters[at : at + 1024]))
+        rest = [w for w in whole if w not in out]
+        for at in range(0, len(rest), 1024):
+            out.update(self._one_by_one(rest[at : at + 1024]))
         for w, (stem, mark) in ends.items():
-            known[w] = known[stem] + known[mark]
-        for w in extra:
-            del known[w]
+            out[w] = out[stem] + out[mark]
+        known.update({w: ids for w, ids in out.items() if len(w) <= CACHE_LENGTH})
+        return out
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters alone are one pre-token each, whose last id is one
+        that ends a word: a line of them is encoded at once and cut there."""
+        got = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(got[0].ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return {}
+        data = ids.tobytes()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+
+    def _one_by_one(self, words: list[str]) -> dict[str, bytes]:
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(words, got)}
+
+
+def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' ids with ``end`` after each row's, and the new offsets."""
+    rows = np.arange(len(offsets) - 1)
+    out = np.full(len(ids) + len(rows), end, np.int32)
+    out[np.arange(len(ids)) + np.repeat(rows, np.diff(offsets))] = ids
+    return out, offsets + np.arange(len(offsets))
