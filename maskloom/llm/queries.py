@@ -25,6 +25,18 @@ def op2_mix_sources(spark, sf_dir):
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    from maskloom.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark, sf_dir):
+    from maskloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark, sf_dir):
     from maskloom.llm.simhash import near_duplicates
 
@@ -35,6 +47,8 @@ QUERIES = {f.__name__: f for f in (
         op1_token_files,
         op2_mix_sources,
         op3_best_fit_packing,
+        op4_quality,
+        op5_toxicity,
         op9_simhash,
     )}
 ORACLE_SQL: dict[str, str] = {}
