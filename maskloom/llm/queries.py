@@ -37,6 +37,18 @@ def op5_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_nearest(spark, sf_dir):
+    from maskloom.llm.vectors import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_exact_top_k(spark, sf_dir):
+    from maskloom.llm.vectors import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark, sf_dir):
     from maskloom.llm.simhash import near_duplicates
 
@@ -49,6 +61,33 @@ QUERIES = {f.__name__: f for f in (
         op3_best_fit_packing,
         op4_quality,
         op5_toxicity,
+        op6_nearest,
         op9_simhash,
+        op10_exact_top_k,
     )}
-ORACLE_SQL: dict[str, str] = {}
+
+def _search_sql(kept: str, score: str, vector: str, every: int, k: int) -> str:
+    usable = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"""
+WITH v AS (SELECT vec_id, {vector} AS v FROM embeddings WHERE {usable}{kept} AND vec_id IS NOT NULL),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, {score} AS score
+  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= {k}"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_nearest": _search_sql(
+        " AND len(list_filter(embedding, lambda x: x <> 0)) > 0", "list_inner_product(q.v, c.v)", "CAST(embedding AS DOUBLE[])", 20, 20
+    ),
+    "op10_exact_top_k": _search_sql(
+        "",
+        "CAST(list_inner_product(q.v, c.v) AS BIGINT)",
+        "list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(x * 256))",
+        50,
+        5,
+    ),
+}
