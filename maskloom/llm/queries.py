@@ -49,6 +49,12 @@ def op10_exact_top_k(spark, sf_dir):
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_url_filter(spark, sf_dir):
+    from maskloom.llm.urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark, sf_dir):
     from maskloom.llm.simhash import near_duplicates
 
@@ -62,6 +68,7 @@ QUERIES = {f.__name__: f for f in (
         op4_quality,
         op5_toxicity,
         op6_nearest,
+        op7_url_filter,
         op9_simhash,
         op10_exact_top_k,
     )}
@@ -79,7 +86,47 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= {k}"""
 
 
+URL_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), r(verdict, h, p) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), j AS (
+  SELECT *, (SELECT max(struct_pack(size := length(h) + length(p), rule := h || p, v := r.verdict)) FROM r
+             WHERE (host = h OR suffix(host, '.' || h)) AND starts_with(path, p)) AS best FROM parsed
+), hosts AS (
+  SELECT host, count(best) AS n, count(CASE WHEN best.v = 'block' THEN 1 END) AS bad,
+         string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM j GROUP BY host
+), hs AS (
+  SELECT host, n, bad, array_to_string(l[greatest(1, len(l) - 1):len(l)], '.') AS domain, l[len(l)] AS suffix FROM hosts
+), ds AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hs GROUP BY 1, 2),
+ss AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, 1 AS al FROM ds GROUP BY 1),
+kids AS (
+  SELECT 2 AS lv, domain AS g, n, bad FROM hs UNION ALL SELECT 1, suffix, n, bad FROM ds UNION ALL SELECT 0, 'all', n, bad FROM ss
+), g AS (
+  SELECT lv, g, sum(n)::DOUBLE AS nn, sum(bad)::DOUBLE AS b, count(*) AS k, sum(n * n)::DOUBLE AS n2, sum(bad * bad / n) AS b2
+  FROM kids WHERE n > 0 GROUP BY 1, 2
+), e AS (
+  SELECT lv, sum(b2 - b * b / nn) AS stray, sum((k - 1) * (b / nn) * (1 - b / nn)) AS noise,
+         sum((b / nn) * (1 - b / nn) * (nn - n2 / nn - (k - 1))) AS room FROM g GROUP BY lv
+), s AS (
+  SELECT lv, least(10000.0, greatest(0.5, CASE WHEN room > 0 THEN CASE WHEN (stray - noise) / room > 0
+         THEN 1 / ((stray - noise) / room) - 1 ELSE 10000.0 END ELSE 1.0 END)) AS strength FROM e
+), c AS (
+  SELECT coalesce((SELECT strength FROM s WHERE lv = 0), 1.0) AS s0, coalesce((SELECT strength FROM s WHERE lv = 1), 1.0) AS s1,
+         coalesce((SELECT strength FROM s WHERE lv = 2), 1.0) AS s2,
+         (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM ss) AS p0
+), sp AS (SELECT suffix, s1, s2, (bad + s0 * p0) / (n + s0) AS p1 FROM ss, c),
+dp AS (SELECT domain, s2, (bad + s1 * p1) / (n + s1) AS p2 FROM ds JOIN sp USING (suffix)),
+hp AS (SELECT host, n + s2 AS size, (bad + s2 * p2) / (n + s2) AS rate FROM hs JOIN dp USING (domain)),
+v AS (SELECT host, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS reputation FROM hp)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, reputation) AS verdict FROM j JOIN v USING (host)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": URL_SQL,
     "op6_nearest": _search_sql(
         " AND len(list_filter(embedding, lambda x: x <> 0)) > 0", "list_inner_product(q.v, c.v)", "CAST(embedding AS DOUBLE[])", 20, 20
     ),
