@@ -55,6 +55,12 @@ def op7_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_secrets(spark, sf_dir):
+    from maskloom.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     from maskloom.llm.simhash import near_duplicates
 
@@ -69,6 +75,7 @@ QUERIES = {f.__name__: f for f in (
         op5_toxicity,
         op6_nearest,
         op7_url_filter,
+        op8_secrets,
         op9_simhash,
         op10_exact_top_k,
     )}
