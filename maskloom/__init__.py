@@ -1 +1,35 @@
 """Finding, masking and auditably restoring personal data and secrets in text, on Spark."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+_ROOT = Path(__file__).resolve().parent.parent
+
+
+def ship(spark) -> None:
+    """Have the executors' Python import this package: once a session, and only
+    where their search path does not hold it already."""
+    sc = spark.sparkContext
+    given = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT in given or getattr(sc, "_maskloom", False):
+        return
+    to = Path(tempfile.mkdtemp(prefix="maskloom-")) / "maskloom.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(Path(__file__).resolve().parent.rglob("*.py")):
+            z.write(p, p.relative_to(_ROOT))
+    sc.addPyFile(str(to))
+    sc._maskloom = True
+
+
+def shared_dir(spark) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``). A temporary
+    one is set only where the session names none, as in local tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="maskloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

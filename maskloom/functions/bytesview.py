@@ -28,7 +28,7 @@ def view(content: Column, binary: bool = False) -> Column:
 
 def unview(text: Column) -> Column:
     """The string whose bytes ``text`` shows; bad UTF-8 becomes U+FFFD."""
-    return F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
+    return F.make_valid_utf8(F.encode(text, "ISO-8859-1").cast("string"))
 
 
 def bind(value: Column, use) -> Column:

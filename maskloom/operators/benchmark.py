@@ -110,6 +110,8 @@ def report(corpus: DataFrame, hot_p95_us: int | None = None, p95_us: int | None
     left = raw_left(packs, known.where(policy.entity_class(F.col("entity_type")).isin(MASK, REDACT))).count()
     benign = in_slice(corpus, "benign-lookalike").select(F.col("name").alias("sample"))
     detectors = [r.asDict() for r in detector_false_positives(raw, known, benign).orderBy("detector").collect()]
+    for kept in (found, raw, known):
+        kept.unpersist()
     gates = {
         "zero-raw-PII": left == 0,
         "secret-recall": rate("secret") >= GATES["secret_recall"],
