@@ -26,12 +26,12 @@ from maskloom.llm.quality import parts
 from maskloom.llm.util import held_out, session
 
 SIZE = 1 << 20
-#: Documents learnt from, at most: labelled ones, and as many without label.
+#: Labelled documents learnt from, at most; and half as many without label.
 SAMPLE = 6000
 #: Lexicon voters, at most: those that tell the classes apart best.
 VOTERS = 256
 #: Lengths of the word beginnings that are features and may be lexicon entries.
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 #: A lexicon entry occurs in so many labelled texts and so clearly in one class.
 LEAST, CLEAR = 3, 0.8
 #: Voters correlated by less are taken as independent.
@@ -44,15 +44,21 @@ def keys(word: str) -> list[str]:
     """What a word is known by: itself in lower case without outer marks, and
     its beginnings; none for marks alone."""
     word = word.lower().strip(MARKS)
-    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)] if word else []
+    return [word, *beginnings(word)] if word else []
+
+
+def beginnings(word: str) -> list[str]:
+    return [f"{word[:n]}*" for n in BEGINNINGS if len(word) > n]
 
 
 def text_keys(text: str | None) -> Counter:
-    """How many different words of a text have each key."""
+    """How many different words of a text have each key; a beginning that two or
+    more have is a key of its own too."""
     words = {w.strip(MARKS) for w in (text or "").lower().split()} - {""}
+    starts = Counter([w[:n] + "*" for n in BEGINNINGS for w in words if len(w) > n])
     out = Counter(words)
-    for n in BEGINNINGS:
-        out.update([w[:n] + "*" for w in words if len(w) > n])
+    out.update(starts)
+    out.update([k + "*" for k, n in starts.items() if n > 1])
     return out
 
 
@@ -69,29 +75,57 @@ def pattern_votes(text: str | None) -> list[int]:
     return [1 if x >= high else -1 if x < low else 0 for x, high, low in shares]
 
 
-def lexicon(texts: list[Counter], ys: list[float], most: int = VOTERS) -> list[str]:
+def number(key: str) -> int:
+    """A key's 32-bit hash; odd for beginnings, even for words."""
+    from xxhash import xxh64_intdigest
+
+    return (xxh64_intdigest(key.encode(), 3) & 0xFFFFFFFE) | (key[-1:] == "*")
+
+
+class Keyed:
+    """Texts' keys as hashes, with how many words have each: five bytes a key."""
+
+    def __init__(self, texts: list):
+        self.rows = []
+        for text in texts:
+            found = text_keys(text)
+            ids = np.fromiter(map(number, found), np.uint32, len(found))
+            order = np.argsort(ids)
+            times = np.minimum(np.fromiter(found.values(), np.int64, len(found)), 3).astype(np.uint8)
+            self.rows.append((ids[order], times[order]))
+
+    def counts(self, which) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the rows ``which``, sorted, and in how many each is."""
+        ids = [self.rows[i][0] for i in which]
+        return np.unique(np.concatenate([*ids, np.zeros(0, np.uint32)]), return_counts=True)
+
+
+def lexicon(texts: list, keyed: Keyed, ys: dict[int, float], most: int = VOTERS) -> list[str]:
     """Keys that are clearly of one class, by how many standard errors their share
     of toxic texts is over all texts'; ties go to the shorter, then lesser, key.
-    A key that occurs where one before it does, four times of five, is left out:
-    it would only repeat that voter."""
-    every, toxic = Counter(), Counter()
+    A key that begins like one before it, or is found in the same texts but for a
+    fifth, is left out: it would repeat that voter. ``ys``: labels by row."""
+    bad = [i for i, y in ys.items() if y >= 0.5]
+    (every, n_every), (toxic, n_toxic) = keyed.counts(ys), keyed.counts(bad)
+    n_every = n_every[np.searchsorted(every, toxic)]
+    base = (len(bad) + 1) / (len(ys) + 2)
+    chance = np.log(0.05 / max(1, int((keyed.counts(ys)[1] >= LEAST).sum())))
+    share = (n_toxic + base) / (n_every + 1)
+    # so often by chance, given as many keys: under one in twenty
+    clear = [
+        i for i in np.flatnonzero((n_every >= LEAST) & (share >= CLEAR)) if n_toxic[i] * np.log(base) + log(comb(int(n_every[i]), int(n_toxic[i]))) < chance
+    ]
     where: dict[str, set[int]] = {}
-    for i, (x, y) in enumerate(zip(texts, ys)):
-        every.update(x.keys())
-        if y >= 0.5:
-            toxic.update(x.keys())
-            for k in x:
-                where.setdefault(k, set()).add(i)
-    base = (sum(ys) + 1) / (len(ys) + 2)
-    found = []
-    chance = np.log(0.05 / max(1, sum(n >= LEAST for n in every.values())))
-    for k, n in every.items():
-        share = (toxic[k] + base) / (n + 1)
-        # so often by chance, given as many keys: under one in twenty
-        if n >= LEAST and share >= CLEAR and toxic[k] * np.log(base) + log(comb(n, toxic[k])) < chance:
-            found.append((-(share - base) * np.sqrt(n / (base * (1 - base))), len(k), k))
+    ids = set(toxic[clear].tolist())
+    for r in bad:
+        if ids.intersection(keyed.rows[r][0].tolist()):
+            for k in text_keys(texts[r]):
+                if number(k) in ids:
+                    where.setdefault(k, set()).add(r)
+    at = dict(zip(toxic.tolist(), range(len(toxic))))
+    worth = lambda i: (share[i] - base) * np.sqrt(n_every[i] / (base * (1 - base)))
     chosen: list[str] = []
-    for *_, k in sorted(found):
+    for k in sorted(where, key=lambda k: (-worth(at[number(k)]), len(k), k)):
         stem, own = k.rstrip("*"), where[k]
         again = (5 * len(own & where[c]) >= 4 * len(own | where[c]) or stem.startswith(c.rstrip("*")) or c.startswith(stem) for c in chosen)
         if len(chosen) < most and not any(again):
@@ -99,12 +133,14 @@ def lexicon(texts: list[Counter], ys: list[float], most: int = VOTERS) -> list[s
     return chosen
 
 
-def cast(texts: list, seen: list[Counter], words: list[str]) -> np.ndarray:
+def cast(texts: list, keyed: Keyed, words: list[str]) -> np.ndarray:
     """All votes: a row a text, a column a voter. The last lexicon voter votes
     clean on texts in which no other finds anything."""
     votes = np.zeros((len(texts), len(words) + 1 + len(pattern_votes(""))), dtype=np.int8)
-    for i, (text, s) in enumerate(zip(texts, seen)):
-        found = [j for j, k in enumerate(words) if k in s]
+    voter = {number(k): j for j, k in enumerate(words)}
+    ids = np.array(sorted(voter), np.uint32)
+    for i, text in enumerate(texts):
+        found = [voter[k] for k in ids[np.isin(ids, keyed.rows[i][0])].tolist()]
         votes[i, found] = 1
         votes[i, len(words)] = 0 if found else -1
         votes[i, len(words) + 1 :] = pattern_votes(text)
@@ -153,25 +189,46 @@ def _correlation(votes: np.ndarray, *classes: np.ndarray) -> np.ndarray:
     return total
 
 
-def _hash(key: str) -> int:
-    from xxhash import xxh64_intdigest
+def one_of_copies(keyed: Keyed, parts: int = 8) -> list[int]:
+    """Rows of which none before shares one of ``parts`` pairs of least hashes of
+    uncommon words: copies of a text, near or exact, teach what is chance in it as a rule."""
+    seeds = np.random.default_rng(11).integers(1, 1 << 62, 2 * parts, dtype=np.uint64) | np.uint64(1)
+    every, n = keyed.counts(range(len(keyed.rows)))
+    rare = every[(n <= max(3, len(keyed.rows) / 100)) & (every % 2 == 0)]
+    seen, kept = set(), []
+    for i, (ids, _) in enumerate(keyed.rows):
+        ids = ids[np.isin(ids, rare, assume_unique=True)]
+        if len(ids):
+            least = ((ids.astype(np.uint64)[None, :] + np.uint64(1)) * seeds[:, None]).min(axis=1).tolist()
+            pairs = {(j, *least[2 * j : 2 * j + 2]) for j in range(parts)}
+            if seen & pairs:
+                continue
+            seen |= pairs
+        kept.append(i)
+    return kept
+
 
-    return xxh64_intdigest(key.encode(), 3) % SIZE
+def _hash(key: str) -> int:
+    return (number(key) >> 1) % SIZE
 
 
 def fit(texts: list, ys: list, epochs: int = EPOCHS, **kind) -> np.ndarray:
     """Weights from texts with label 0, 1 or None; the last is the constant's."""
-    seen = [text_keys(x) for x in texts]
-    have = [i for i, y in enumerate(ys) if y is not None]
-    words = lexicon([seen[i] for i in have], [ys[i] for i in have])
-    soft = label_model(cast(texts, seen, words), np.array([np.nan if y is None else y for y in ys], dtype=float)) if have else np.zeros(0)
-    model = Ftrl(SIZE + 1, **({"alpha": 0.5, "l1": 8.0} | kind))
-    hashed = [np.unique(np.fromiter(map(_hash, s), np.int64, len(s)), return_counts=True) for s in seen]
-    scale = rarity(np.bincount(np.concatenate([at for at, _ in hashed]), minlength=SIZE) if hashed else np.zeros(SIZE), len(texts))
+    keyed = Keyed(texts)
+    kept = one_of_copies(keyed)
+    texts, ys, keyed.rows = [texts[i] for i in kept], [ys[i] for i in kept], [keyed.rows[i] for i in kept]
+    known = {i: y for i, y in enumerate(ys) if y is not None}
+    soft = label_model(cast(texts, keyed, lexicon(texts, keyed, known)), np.array([np.nan if y is None else y for y in ys], dtype=float)) if known else np.zeros(0)
+    model = Ftrl(SIZE + 1, **({"alpha": 0.5, "l1": 6.0} | kind))
+    hashed = lambda ids: (ids >> np.uint32(1)).astype(np.int64) % SIZE
+    df = np.zeros(SIZE)
+    for ids, _ in keyed.rows:
+        df[np.unique(hashed(ids))] += 1
+    scale = rarity(df, len(texts))
     rows = []
-    for s, (at, _) in zip(seen, hashed):
-        x = np.bincount(np.searchsorted(at, np.fromiter(map(_hash, s), np.int64, len(s))), list(s.values()), minlength=len(at)) if len(at) else np.zeros(0)
-        x = np.minimum(x, 3) * scale[at]
+    for ids, times in keyed.rows:
+        at, back = np.unique(hashed(ids), return_inverse=True)
+        x = np.minimum(np.bincount(back, times, minlength=len(at)), 3) * scale[at]
         rows.append((np.append(at[x > 0], SIZE), np.append(x[x > 0], 1.0)))
     for _ in range(epochs):
         for (at, x), y in zip(rows, soft):
@@ -188,13 +245,13 @@ def rarity(df: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = SAMPLE) -> np.ndarray:
-    """Fitted by one task on at most ``most`` labelled documents and as many of
-    the others that are not held out, in a fixed order."""
+    """Fitted by one task on at most ``most`` labelled documents and half as many
+    of the others that are not held out, in a fixed order."""
     session(docs)
     known = sample(docs, labels, column, most).select("y", "text")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out() & F.col("doc_id").isNotNull())
     ids = ids.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").distinct()
-    ids = ids.withColumn("rank", F.xxhash64(F.lit(6), "doc_id")).orderBy("rank", "doc_id").limit(most)
+    ids = ids.withColumn("rank", F.xxhash64(F.lit(6), "doc_id")).orderBy("rank", "doc_id").limit(most // 2)
     other = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     rows = known.withColumn("rank", F.xxhash64("text")).unionByName(other.select(F.lit(None).cast("double").alias("y"), "text", "rank"))
     rows = rows.repartition(1).sortWithinPartitions("rank", "text", "y")
@@ -219,9 +276,12 @@ class Scorer:
         self.weights, self.most, self.known = weights, most, {}
 
     def word(self, w: str) -> float:
+        """What a word adds; NaN if it may add to a pair of beginnings."""
         got = self.known.get(w)
         if got is None:
             got = sum(float(self.weights[_hash(k)]) for k in keys(w))
+            if any(self.weights[_hash(k + "*")] for k in keys(w)[1:]):
+                got = float("nan")
             if len(w) <= 64:
                 self.known[w] = got
         return got
@@ -237,12 +297,24 @@ class Scorer:
         code = coded.indices.to_numpy()
         rows = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
         telling = worth[code] != 0 if len(code) else np.zeros(0, bool)
-        code, rows = code[telling], rows[telling]
-        stems: dict[str, int] = {}
-        stem = np.array([stems.setdefault(words[c].strip(MARKS), len(stems)) for c in code], dtype=np.int64)
-        _, first = np.unique(rows * (len(stems) + 1) + stem, return_index=True)
-        total = np.bincount(rows[first], worth[code[first]], minlength=len(texts))
-        return sigmoid(total + self.weights[SIZE])
+        total = np.full(len(texts), float(self.weights[SIZE]))
+        # few words tell: those of one text, once each
+        pairs = np.unique(np.stack([rows[telling], code[telling]]), axis=1).T.tolist()
+        seen, starts = set(), Counter()
+        for row, c in pairs:
+            stem = words[c].strip(MARKS)
+            if (row, stem) in seen:
+                continue
+            seen.add((row, stem))
+            if worth[c] == worth[c]:
+                total[row] += worth[c]
+                continue
+            total[row] += sum(float(self.weights[_hash(k)]) for k in keys(stem))
+            for k in beginnings(stem):
+                starts[row, k] += 1
+                if starts[row, k] == 2:
+                    total[row] += float(self.weights[_hash(k + "*")])
+        return sigmoid(total)
 
 
 def score(docs: DataFrame, weights: np.ndarray, cut: float = CUT) -> DataFrame:
