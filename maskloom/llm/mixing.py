@@ -201,7 +201,8 @@ def mixed(docs: DataFrame, **kind) -> DataFrame:
         F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("long").alias(times), F.count(F.lit(1)).alias("repeats")
     )
     plan = materialise(plan.where(F.col(times) > 0).withColumnRenamed("key", key), "plan")
-    whole = keyed.join(plan, key)
+    # a merge join at every size: the plan grows with the table
+    whole = keyed.join(plan.hint("merge"), key)
     once = whole.where("repeats = 1")
     repeated = whole.where("repeats > 1").dropDuplicates([key])
     return _repeat(once.unionByName(repeated), times, nth).select(*docs.columns)

@@ -137,7 +137,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS,
     kept = kept.select(F.col("least.key").alias("key"))
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     kept = materialise(kept.join(again, "key").select(F.col("key").alias(key), F.col("times").alias(key + "_times")), "kept")
-    whole = keyed.join(kept, key)
+    # a merge join at every size: the rows kept grow with the table
+    whole = keyed.join(kept.hint("merge"), key)
     once = whole.where(F.col(key + "_times") == 1)
     repeated = whole.where(F.col(key + "_times") > 1).dropDuplicates([key])
     return once.unionByName(repeated).select(*docs.columns)
