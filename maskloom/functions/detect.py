@@ -79,7 +79,7 @@ def ip(b: Column) -> Column:
 
 
 def iban_sortcode(b: Column) -> Column:
-    iban = find_spans(b, ascii_boundaries(IBAN), F.rlike(b, F.lit("[A-Za-z]{2}[0-9]{2}[A-Za-z0-9 ]")))
+    iban = find_spans(b, ascii_boundaries(IBAN), F.rlike(b, F.lit("[0-9](?<=[A-Za-z]{2}[0-9])[0-9][A-Za-z0-9 ]")))
     code = find_spans(b, ascii_boundaries(SORT_CODE), F.rlike(b, F.lit("[0-9]{2}[- ][0-9]{2}[- ][0-9]{2}")))
     return F.concat(_findings("Iban", "iban-sortcode", iban), _findings("SortCode", "iban-sortcode", code))
 
@@ -155,7 +155,8 @@ def commit_id(b: Column, start: Column, token: Column) -> Column:
 
 def entropy(b: Column, least: int = TOKEN_LENGTH, threshold: float = ENTROPY_THRESHOLD) -> Column:
     """Long tokens of high entropy that are neither structured names nor commit ids."""
-    pattern = f"{TOKEN_CHARACTERS}{{{least},}}"
+    # a run is looked at from its first character only
+    pattern = f"(?<!{TOKEN_CHARACTERS}){TOKEN_CHARACTERS}{{{least},}}+"
     tokens = find_spans(b, pattern, F.rlike(b, F.lit(pattern)))
 
     def scored(s: Column) -> Column:
@@ -175,6 +176,6 @@ PROVENANCE = "+".join(sorted(DETECTORS))
 
 def scan(b: Column, detectors=None) -> Column:
     """All detectors' findings, one after the other, unusable spans left out."""
-    every = [f(b) for f in (detectors or DETECTORS).values()]
-    found = F.concat(*every) if every else F.array().cast(f"array<{FINDING}>")
+    fs = list((DETECTORS if detectors is None else detectors).values())
+    found = bind(b, lambda x: F.concat(*[f(x) for f in fs])) if fs else F.array().cast(f"array<{FINDING}>")
     return F.filter(found, lambda f: (f["start"] < f["end"]) & (f["end"] <= F.length(b)))

@@ -85,6 +85,61 @@ def consistency(probes: DataFrame) -> DataFrame:
     return probes.agg(F.count(F.when(F.col("first") == F.col("second"), 1)).alias("stable"), F.count(F.lit(1)).alias("total"))
 
 
+def placeholder_consistency(labels: DataFrame, vault, policy=None, now: int = 1) -> DataFrame:
+    """Each labelled value that is to be masked, twice in one text: do both become
+    the same display? Values that no detector takes do not count. ``labels``:
+    entity_type, value."""
+    from maskloom.operators.mask import mask
+    from maskloom.plans.policy import Policy
+
+    policy = policy or Policy.default()
+    values = labels.where(policy.entity_class(F.col("entity_type")).isin(MASK, REDACT)).select("value").distinct()
+    probes = values.select(F.xxhash64("value").alias("artefact_id"), F.concat("value", F.lit("\n"), "value").alias("content"))
+    packs = mask(probes, vault, "repo", "probes", policy, now).where(F.size("bindings") > 0)
+    parts = F.split("text", "\n", 2)
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    shown = F.array_contains("bindings.display", first)
+    return consistency(packs.select(first.alias("first"), F.when(shown, second).alias("second")))
+
+
+def display_collisions(corpus: DataFrame, vault, now: int = 1) -> DataFrame:
+    """Samples that hold a look-alike of a placeholder, each masked in a namespace
+    of its own and restored: sample, decoy_minted, corrupted."""
+    from maskloom.operators.mask import mask, rehydrate
+
+    rows = corpus.select(F.col("name").alias("artefact_id"), "content", "decoys")
+    packs = mask(rows.withColumn("seen", F.lit(0)), vault, "session", F.col("artefact_id"), now=now, order="artefact_id").persist()
+    back = rehydrate(packs, vault, "local-patch", now=now).select("artefact_id", F.col("text").alias("restored"))
+    out = rows.join(packs.select("artefact_id", "bindings"), "artefact_id").join(back, "artefact_id")
+    minted = F.arrays_overlap("decoys", "bindings.display")
+    return out.select(F.col("artefact_id").alias("sample"), F.coalesce(minted, F.lit(False)).alias("decoy_minted"), (F.col("restored") != F.col("content")).alias("corrupted"))
+
+
+def residuals(corpus: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per sample, how many of its residual secrets no finding touches, at the
+    first place of each; one that is not in the text counts."""
+    from maskloom.sources.artefacts import occurrences
+
+    rows = corpus.select(F.col("name").alias("sample"), "content", F.explode("residual_secrets").alias("value"))
+    at = F.try_element_at(occurrences(F.col("content"), F.col("value")), F.lit(1))
+    rows = rows.select("sample", "value", at["start"].alias("start"), at["end"].alias("end"))
+    return matched(rows, findings, "left_anti", same_type=False).groupBy("sample").agg(F.count(F.lit(1)).alias("residual"))
+
+
+def structural_checks(corpus: DataFrame, packs: DataFrame) -> DataFrame:
+    """Of tagged samples: name, sample, passed. ``packs``: sample, text, blocked."""
+    rows = corpus.select(F.col("name").alias("sample"), "slices").join(packs, "sample")
+    blocks = rows.where(F.array_contains("slices", "artefact-block")).select(F.lit("artefact-block-fires").alias("name"), "sample", F.col("blocked").alias("passed"))
+    parses = rows.where(F.array_contains("slices", "json-payload"))
+    return blocks.unionByName(parses.select(F.lit("masked-json-still-parses").alias("name"), "sample", F.try_parse_json("text").isNotNull().alias("passed")))
+
+
+def dead_branches(policy: dict) -> list[str]:
+    """Rules of a policy that nothing can reach: no reader of artefacts here fills
+    in a language, so a default policy should not go by one."""
+    return sorted((policy.get("artefacts") or {}).get("by_language") or {})
+
+
 def verdict(gates: list[bool | None]) -> str:
     """NoGo if a gate fails, else Incomplete if one was not measured, else Go."""
     return "NoGo" if False in gates else "Incomplete" if None in gates else "Go"

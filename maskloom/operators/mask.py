@@ -82,7 +82,9 @@ def redact(artefacts: DataFrame, policy: Policy | None = None) -> DataFrame:
 
 def values_of(analysed: DataFrame, ns_kind: str, ns_id: str, order: str = "artefact_id") -> DataFrame:
     """The values to intern: of findings to be masked, with their place."""
-    masked = analysed.select("artefact_id", F.col(order).alias("seen"), F.posexplode(F.filter("findings", lambda f: f["class"] == MASK)).alias("nth", "f"))
+    # an order that is no number goes by its hash
+    seen = F.col(order) if dict(analysed.dtypes)[order] in ("int", "bigint") else F.xxhash64(order)
+    masked = analysed.select("artefact_id", seen.cast("long").alias("seen"), F.posexplode(F.filter("findings", lambda f: f["class"] == MASK)).alias("nth", "f"))
     return masked.select(
         F.lit(ns_kind).alias("ns_kind"),
         F.lit(ns_id).alias("ns_id"),
@@ -109,14 +111,17 @@ def ordinals(artefacts: DataFrame, ns_kind: str, ns_id: str, salt: bytes = b"",
 def mask(
     artefacts: DataFrame, vault: Vault, ns_kind: str, ns_id: str, policy: Policy | None = None, now: int | None = None, ttl: int | None = None, order: str = "artefact_id"
 ) -> DataFrame:
-    """Masked packs: artefact_id, text, bindings (display, mapping_ref; first use
+    """``ns_id``: a string, or a Column of artefact_id.
+
+    Masked packs: artefact_id, text, bindings (display, mapping_ref; first use
     first), counts, raw_counts, blocked_artefacts, ns_kind, ns_id,
     policy_version, created_at. Ordinals follow ``order`` (an integer column),
     then position. The vault commits before any pack is to be had."""
     policy = policy or Policy.default()
     now = int(time.time()) if now is None else now
     rows = analyse(artefacts, policy)
-    values = values_of(rows, ns_kind, ns_id, order)
+    # read by the commit and by the packs: without it texts would be searched each time
+    values = values_of(rows, ns_kind, ns_id, order).persist()
     mapping = vault.intern(values, now, ttl)
     keyed = with_keys(values, vault.salt).join(mapping.select("key_hex", "mapping_ref", "display"), "key_hex")
     used = keyed.groupBy("artefact_id").agg(F.array_sort(F.collect_list(F.struct("start", "display", "mapping_ref"))).alias("used"))

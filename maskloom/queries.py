@@ -781,3 +781,60 @@ def stream_redact_emails(spark, sf_dir):
     writer = rows.select("artefact_id", unview(put).alias("text")).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
     writer.trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+@query(
+    """
+SELECT event_id AS request_id, CASE WHEN k = 0 THEN 'session' WHEN k = 2 THEN 'repo' END AS ns_kind,
+       CASE WHEN k = 0 THEN '00000000-0000-4000-8000-' || lpad(CAST(event_id AS VARCHAR), 12, '0') WHEN k = 2 THEN 'r' || (event_id % 5) END AS ns_id,
+       CASE WHEN k = 1 THEN 'invalid namespace header 00000000-0000-0000-0000-000000000000' WHEN k = 3 THEN 'unregistered address 127.0.0.1:' || (9000 + event_id % 5) END AS error
+FROM (SELECT event_id, CAST(event_id % 4 AS INTEGER) AS k FROM events)"""
+)
+def session_resolve(spark, sf_dir):
+    """Header first, then address; nil headers and unknown addresses are refused."""
+    from maskloom.operators import sessions
+
+    e, k = F.col("event_id"), F.col("event_id") % 4
+    header = F.when(k == 0, F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(e.cast("string"), 12, "0"))).when(k == 1, "00000000-0000-0000-0000-000000000000")
+    address = F.concat(F.lit("127.0.0.1:"), F.when(k == 3, 9000).otherwise(8000) + e % 5)
+    requests = table(spark, sf_dir, "events").select(e.alias("request_id"), header.alias("header"), address.alias("address"))
+    registry = spark.createDataFrame([(f"127.0.0.1:{8000 + i}", "repo", f"r{i}") for i in range(5)], "address string, ns_kind string, ns_id string")
+    return sessions.resolve(requests, registry)
+
+
+@query("SELECT count(DISTINCT c_custkey % 40) AS stable, count(DISTINCT c_custkey % 40) AS total FROM customer")
+def placeholder_consistency(spark, sf_dir):
+    """A value twice in a text becomes one placeholder."""
+    value = F.concat(F.lit("user"), F.col("c_custkey") % 40, F.lit("@x.org"))
+    labels = table(spark, sf_dir, "customer").select(F.lit("Email").alias("entity_type"), value.alias("value"))
+    return benchmark.placeholder_consistency(labels, _vault(spark))
+
+
+@query("SELECT 'p' || p_partkey AS sample, p_partkey % 2 = 0 AS decoy_minted, p_partkey % 2 = 0 AS corrupted FROM part WHERE p_partkey <= 20")
+def display_collisions(spark, sf_dir):
+    """Texts that hold a look-alike: those equal to a placeholder made are restored wrongly."""
+    k = F.col("p_partkey")
+    decoy = F.when(k % 2 == 0, "EMAIL_001").otherwise("EMAIL_900")
+    rows = table(spark, sf_dir, "part").where(k <= 20).select(
+        F.concat(F.lit("p"), k).alias("name"), F.concat(F.lit("ask a@x.org or "), decoy).alias("content"), F.array(decoy).alias("decoys")
+    )
+    return benchmark.display_collisions(rows, _vault(spark))
+
+
+@query("SELECT p_partkey % 3 = 0 AS blocked, 'artefact-block-fires' AS name, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT true, 'masked-json-still-parses', count(*) FROM part")
+def structural_checks(spark, sf_dir):
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part")
+    corpus = parts.select(k.cast("string").alias("name"), F.array(F.lit("artefact-block"), F.lit("json-payload")).alias("slices"))
+    packs = parts.select(k.cast("string").alias("sample"), F.to_json(F.struct("p_name")).alias("text"), (k % 3 == 0).alias("blocked"))
+    out = benchmark.structural_checks(corpus, packs)
+    return out.groupBy(F.col("passed").alias("blocked"), "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS sample, CAST(1 AS BIGINT) AS residual FROM part WHERE p_partkey % 2 = 1")
+def residual_secrets(spark, sf_dir):
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part")
+    corpus = parts.select(k.cast("string").alias("name"), F.concat(F.lit("é pin "), k).alias("content"), F.array(k.cast("string")).alias("residual_secrets"))
+    found = parts.where(k % 2 == 0).select(k.cast("string").alias("sample"), F.lit(7).alias("start"), F.lit(8).alias("end"))
+    return benchmark.residuals(corpus, found)
