@@ -272,48 +272,63 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
 
 
 class Scorer:
-    def __init__(self, weights: np.ndarray, most: int = 400_000):
-        self.weights, self.most, self.known = weights, most, {}
-
-    def word(self, w: str) -> float:
-        """What a word adds; NaN if it may add to a pair of beginnings."""
-        got = self.known.get(w)
-        if got is None:
-            got = sum(float(self.weights[_hash(k)]) for k in keys(w))
-            if any(self.weights[_hash(k + "*")] for k in keys(w)[1:]):
-                got = float("nan")
-            if len(w) <= 64:
-                self.known[w] = got
-        return got
+    """Scores of batches. Words' hashes are not kept; those of beginnings, of
+    which there are fewer, are, up to ``most``."""
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """Of each text, by its different words."""
+    def __init__(self, weights: np.ndarray, most: int = 200_000):
+        self.weights, self.most = weights, most
+        self.known: dict[str, tuple[float, float]] = {}  # of a beginning: its weight, and that of two words with it
+
+    def _beginnings(self, starts: list[str]) -> np.ndarray:
         if len(self.known) > self.most:
             self.known.clear()
+        known, out = self.known, []
+        for s in starts:
+            got = known.get(s)
+            if got is None:
+                got = known[s] = float(self.weights[_hash(s + "*")]), float(self.weights[_hash(s + "**")])
+            out.append(got)
+        return np.array(out).reshape(-1, 2)
+
+    def words(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What each word adds alone; whether it may add with another."""
+        from xxhash import xxh64_intdigest as h
+
+        plain = stems.to_pylist()
+        hashes = np.fromiter((h(w, 3) for w in plain), np.uint64, len(plain))  # as number() has it
+        at = ((hashes & np.uint64(0xFFFFFFFE)) >> np.uint64(1)).astype(np.int64) % SIZE
+        total = np.where(np.fromiter(map(len, plain), np.int64, len(plain)) > 0, self.weights[at], 0.0).astype(np.float64)
+        length, paired = pc.utf8_length(stems).to_numpy(), np.zeros(len(plain), bool)
+        for n in BEGINNINGS:
+            long = length > n
+            starts = pc.utf8_slice_codeunits(stems, 0, n).dictionary_encode()
+            w = self._beginnings(starts.dictionary.to_pylist())[starts.indices.to_numpy()] if len(plain) else np.zeros((0, 2))
+            total += np.where(long, w[:, 0], 0.0)
+            paired |= long & (w[:, 1] != 0)
+        return total, paired
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Of each text, by its different words."""
         lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
         coded = lists.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        worth = np.fromiter(map(self.word, words), np.float64, len(words))
-        code = coded.indices.to_numpy()
+        stems = pc.utf8_trim(coded.dictionary, characters=MARKS)
+        worth, paired = self.words(stems)
+        words, code = stems.to_pylist(), coded.indices.to_numpy()
         rows = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-        telling = worth[code] != 0 if len(code) else np.zeros(0, bool)
+        telling = ((worth != 0) | paired)[code] if len(code) else np.zeros(0, bool)
         total = np.full(len(texts), float(self.weights[SIZE]))
         # few words tell: those of one text, once each
-        pairs = np.unique(np.stack([rows[telling], code[telling]]), axis=1).T.tolist()
         seen, starts = set(), Counter()
-        for row, c in pairs:
-            stem = words[c].strip(MARKS)
-            if (row, stem) in seen:
-                continue
-            seen.add((row, stem))
-            if worth[c] == worth[c]:
-                total[row] += worth[c]
+        for row, c in np.unique(np.stack([rows[telling], code[telling]]), axis=1).T.tolist():
+            if (row, words[c]) in seen:
                 continue
-            total[row] += sum(float(self.weights[_hash(k)]) for k in keys(stem))
-            for k in beginnings(stem):
-                starts[row, k] += 1
-                if starts[row, k] == 2:
-                    total[row] += float(self.weights[_hash(k + "*")])
+            seen.add((row, words[c]))
+            total[row] += worth[c]
+            if paired[c]:
+                for k in beginnings(words[c]):
+                    starts[row, k] += 1
+                    if starts[row, k] == 2:
+                        total[row] += float(self.weights[_hash(k + "*")])
         return sigmoid(total)
 
 
