@@ -158,7 +158,7 @@ def dependent_rounding(units: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _repeat(df: DataFrame, times: str, name: str) -> DataFrame:
     """Each row ``times`` times, with its number from 0 as ``name``, in runs."""
-    run, at = name + "_run", name + "_at"
+    run, at = fresh(df, name + "_run"), fresh(df, name + "_at")
     df = df.where(F.col(times) > 0)
     df = df.withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / RUN))))
     last = F.least(F.lit(RUN), F.col(times) - F.col(run) * RUN) - 1
@@ -194,15 +194,15 @@ def mix_documents(docs: DataFrame, **kind) -> DataFrame:
 
 def mixed(docs: DataFrame, **kind) -> DataFrame:
     """The mix itself: each row of ``docs``, all columns, as often as it is taken."""
-    key, times, nth = (fresh(docs, x) for x in ("row_key", "row_times", "row_nth"))
+    key, times, nth, repeats = (fresh(docs, x) for x in ("row_key", "row_times", "row_nth", "row_repeats"))
     keyed = docs.withColumn(key, row_hash(docs))
     sized = keyed.select(F.col(key).alias("key"), "source", n_words(F.col("text")).alias("size"))
     plan = mix(sized, **kind).groupBy("key").agg(
-        F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("long").alias(times), F.count(F.lit(1)).alias("repeats")
+        F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("long").alias(times), F.count(F.lit(1)).alias(repeats)
     )
     plan = materialise(plan.where(F.col(times) > 0).withColumnRenamed("key", key), "plan")
     # a merge join at every size: the plan grows with the table
     whole = keyed.join(plan.hint("merge"), key)
-    once = whole.where("repeats = 1")
-    repeated = whole.where("repeats > 1").dropDuplicates([key])
+    once = whole.where(F.col(repeats) == 1)
+    repeated = whole.where(F.col(repeats) > 1).dropDuplicates([key])
     return _repeat(once.unionByName(repeated), times, nth).select(*docs.columns)

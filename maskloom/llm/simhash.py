@@ -125,7 +125,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS,
     ids last), of the smallest row hash where that is repeated. All columns stay."""
     from maskloom.llm.util import row_hash
 
-    key = fresh(docs, "row_key")
+    key, times = fresh(docs, "row_key"), fresh(docs, "row_times")
     keyed = docs.withColumn(key, row_hash(docs))
     narrow = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("key"))
     rows = materialise(fingerprints(narrow, words).drop("text"), "fingerprints")
@@ -136,9 +136,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS,
     kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     kept = kept.select(F.col("least.key").alias("key"))
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    kept = materialise(kept.join(again, "key").select(F.col("key").alias(key), F.col("times").alias(key + "_times")), "kept")
+    kept = materialise(kept.join(again, "key").select(F.col("key").alias(key), F.col("times").alias(times)), "kept")
     # a merge join at every size: the rows kept grow with the table
     whole = keyed.join(kept.hint("merge"), key)
-    once = whole.where(F.col(key + "_times") == 1)
-    repeated = whole.where(F.col(key + "_times") > 1).dropDuplicates([key])
+    once = whole.where(F.col(times) == 1)
+    repeated = whole.where(F.col(times) > 1).dropDuplicates([key])
     return once.unionByName(repeated).select(*docs.columns)

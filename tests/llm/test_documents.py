@@ -11,7 +11,7 @@ from maskloom.llm import mixing, packing, secrets, simhash, token_files, toxicit
 from maskloom.llm.components import components
 from maskloom.llm.tokens import vocabulary_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, score double, key string, predicted int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, score double, key string, predicted int, row_key int, repeats int, row_times int, row_nth_run int"
 WORDS = "the of and stone river cloud paper light green water small house early night bread".split()
 
 
@@ -38,7 +38,7 @@ def rows():
         (11, prose(4, 299) + " end", "en", "a"),
         (12, prose(4, 299) + " END", "en", "a"),
     ]
-    return [(i, t, lang, s, -1, -2, -3, -4.0, "k", -5) for i, t, lang, s in out]
+    return [(i, t, lang, s, -1, -2, -3, -4.0, "k", -5, 1, 2, 3, 4) for i, t, lang, s in out]
 
 
 @pytest.fixture(scope="module")
