@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker learns before those not met since are forgotten. Speed only.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 450_000
 #: Longer words are encoded each time they occur.
 CACHE_LENGTH = 64
 #: Characters of text encoded at once.

@@ -3,34 +3,27 @@ the shared folder, and names that cannot clash with a caller's columns."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom import shared_dir, ship
+
 #: Rows handed to Python at once; keeps a batch of the longest documents small.
 BATCH_ROWS = 1000
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session of ``df``, with Arrow batches bounded for whole documents."""
+    """The session of ``df``, with Arrow batches bounded for whole documents and
+    this package on the executors."""
     spark = df.sparkSession
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``). A temporary
-    one is set only where the session names none, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="maskloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/maskloom/{name}-{uuid.uuid4().hex}"
 
