@@ -1,9 +1,10 @@
 """The mapping of values to placeholders, as tables.
 
-A vault is a folder: ``mapping`` holds one Parquet table a version and
-``demask_event`` is appended to. A commit writes the next version beside the
-last and then moves the pointer file; whoever finds that another has moved it
-starts again. Values are encrypted with AES-GCM under a key the caller holds.
+A vault is a folder: ``mapping`` holds Parquet folders, ``versions`` a file for
+each commit that names the folders in force, and ``demask_event`` is appended to.
+A commit adds a folder of new rows; only renewals, purges and every COMPACT-th
+commit write the mapping anew. The file of a version can be created once: whoever
+comes second starts again. Values are encrypted with AES-GCM under a key the caller holds.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ MAPPING = (
 EVENT = "mapping_ref string, ns_kind string, ns_id string, requested_at long, success int"
 
 
+#: Folders a version names, at most.
+COMPACT = 64
+
+
 class VaultError(RuntimeError):
     """Another writer committed first, or the key is not this vault's."""
 
@@ -138,22 +143,24 @@ class Vault:
         return max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=0)
 
     def mapping(self) -> DataFrame:
-        v = self.version()
-        if not v:
+        folders = self._folders(self.version())
+        if not folders:
             return self.spark.createDataFrame([], MAPPING)
-        return self.spark.read.schema(MAPPING).parquet(f"{self.path}/mapping/{self._folder(v)}")
+        return self.spark.read.schema(MAPPING).parquet(*(f"{self.path}/mapping/{f}" for f in folders))
 
-    def _folder(self, version: int) -> str:
+    def _folders(self, version: int) -> list[str]:
+        if not version:
+            return []
         jvm, fs = self._fs()
         stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{version}"))
         try:
-            return stream.readUTF()
+            return stream.readUTF().split(",")
         finally:
             stream.close()
 
-    def commit(self, rows: DataFrame, base: int) -> None:
-        """Make ``rows`` the mapping, if ``base`` is still the last version. The
-        file that names a version is created once or not at all."""
+    def commit(self, rows: DataFrame, base: int, beside: list[str] | None = None) -> None:
+        """Make ``rows``, with the folders ``beside``, the mapping, if ``base`` is
+        still the last version."""
         folder = uuid.uuid4().hex
         rows.select(*[f.split()[0] for f in MAPPING.split(", ")]).write.parquet(f"{self.path}/mapping/{folder}")
         jvm, fs = self._fs()
@@ -163,7 +170,7 @@ class Vault:
             stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{base + 1}"), False)
         except Exception as why:
             raise VaultError("another writer committed first") from why
-        stream.writeUTF(folder)
+        stream.writeUTF(",".join([*(beside or []), folder]))
         stream.close()
 
     def intern(self, values: DataFrame, now: int, ttl: int | None = None, tries: int = 3) -> DataFrame:
@@ -171,10 +178,14 @@ class Vault:
         keyed = with_keys(values, self.salt)
         for left in reversed(range(tries)):
             base = self.version()
-            have = self.mapping()
+            have, folders = self.mapping(), self._folders(base)
             new = mint(have, keyed, self.key, now, ttl)
+            expired = have.where(F.col("expires_at") <= now).join(keyed, "key_hex", "left_semi")
             try:
-                self.commit(renewed(have, keyed, now, ttl).unionByName(new), base)
+                if len(folders) >= COMPACT or not expired.isEmpty():
+                    self.commit(renewed(have, keyed, now, ttl).unionByName(new), base)
+                else:
+                    self.commit(new, base, folders)
                 return self.mapping()
             except VaultError:
                 if not left:

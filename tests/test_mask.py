@@ -53,6 +53,17 @@ def test_reopen_ttl_purge(spark, vault):
     assert expired["text"] == "EMAIL_001 EMAIL_003" and expired["unresolved"] == ["EMAIL_001", "EMAIL_003"]
 
 
+def test_commits_add_up(spark, vault, monkeypatch):
+    from maskloom.operators import vault as module
+
+    monkeypatch.setattr(module, "COMPACT", 2)
+    for i in range(4):
+        made = mask.mask(table(spark, (i, f"u{i}@x.org u0@x.org", None)), vault, "repo", "r", now=i).first()
+        assert made["text"] == f"EMAIL_{i + 1:03d} EMAIL_001"
+        assert len(vault._folders(vault.version())) <= 2
+    assert vault.mapping().count() == 4
+
+
 def test_one_writer(spark, vault):
     base = vault.version()
     vault.commit(vault.mapping(), base)
