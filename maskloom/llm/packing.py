@@ -44,32 +44,32 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None =
         from pyspark import TaskContext
 
         words, row = encoder(tokenizer), TaskContext.get().partitionId() * 7919
-        for batch in batches:
-            docs_ = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else np.array(batch.column(0).to_pylist(), object)
-            for at, rows, tokens, ends in words.parts(batch.column(1)):
-                tokens, ends = with_end(tokens, ends, end_id)
-                n = np.diff(ends)
-                each = -(-n // capacity)
-                of = np.repeat(np.arange(rows), each)
-                piece = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-                start = piece * capacity
-                length = np.minimum(n[of] - start, capacity)
-                data, a = memoryview(tokens.view(np.uint8)), 4 * (ends[:-1][of] + start)
-                parts = [data[x : x + y] for x, y in zip(a.tolist(), (4 * length).tolist())]
-                salt = (row + np.arange(len(of))) % SALTS
-                row += len(of)
-                cols = [
-                    pa.array(docs_[at : at + rows][of], pa.int64()),
-                    pa.array(piece, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.array([zlib.crc32(x) for x in parts], pa.int64()),
-                    pa.array(salt, pa.int32()),
-                ]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
-                if ids:
-                    cols, names = [*cols, pa.array([bytes(x) for x in parts], pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for batch, tokens, ends in words.parts(batches):
+            ids_ = batch.column(0)
+            docs_ = np.array(ids_.to_pylist(), object) if ids_.null_count else ids_.to_numpy()
+            tokens, ends = with_end(tokens, ends, end_id)
+            n = np.diff(ends)
+            each = -(-n // capacity)
+            of = np.repeat(np.arange(len(n)), each)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+            start = piece * capacity
+            length = np.minimum(n[of] - start, capacity)
+            data, a = memoryview(tokens.view(np.uint8)), 4 * (ends[:-1][of] + start)
+            parts = [data[x : x + y] for x, y in zip(a.tolist(), (4 * length).tolist())]
+            salt = (row + np.arange(len(of))) % SALTS
+            row += len(of)
+            cols = [
+                pa.array(docs_[of], pa.int64()),
+                pa.array(piece, pa.int32()),
+                pa.array(start, pa.int64()),
+                pa.array(length, pa.int64()),
+                pa.array([zlib.crc32(x) for x in parts], pa.int64()),
+                pa.array(salt, pa.int32()),
+            ]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
+            if ids:
+                cols, names = [*cols, pa.array([bytes(x) for x in parts], pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 

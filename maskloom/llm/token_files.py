@@ -48,20 +48,19 @@ def write_token_files(
         from pyspark import TaskContext
 
         part, start, words = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        for batch in batches:
-            for at, rows, ids, ends in words.parts(batch.column(1)):
-                ids, ends = with_end(ids, ends, end_id)
-                starts, start = start + ends[:-1], start + int(ends[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, rows),
-                        pa.array(np.full(rows, part, np.int32)),
-                        pa.array(starts, pa.int64()),
-                        pa.array(np.diff(ends), pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
-                    ],
-                    ["doc_id", "part", "part_start", "n_tokens", "ids"],
-                )
+        for batch, ids, ends in words.parts(batches):
+            ids, ends = with_end(ids, ends, end_id)
+            starts, start = start + ends[:-1], start + int(ends[-1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(np.full(batch.num_rows, part, np.int32)),
+                    pa.array(starts, pa.int64()),
+                    pa.array(np.diff(ends), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
+                ],
+                ["doc_id", "part", "part_start", "n_tokens", "ids"],
+            )
 
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the last two keys only part rows that share a doc_id

@@ -16,11 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker learns before those not met since are forgotten. Speed only.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 400_000
 #: Longer words are encoded each time they occur.
 CACHE_LENGTH = 64
-#: Characters of text encoded at once.
+#: Bytes of text encoded at once.
 PART = 4 << 20
+#: What may be cut off a word's end: with an apostrophe, the pre-tokeniser may not.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -57,15 +59,32 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}  # words met lately move back to known
         self.cache_words = cache_words
 
-    def parts(self, texts: pa.Array):
-        """(first row, number of rows, ids, offsets of rows in ids) of parts of
-        ``texts`` of bounded length, in order; a row is never parted."""
-        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    def parts(self, batches):
+        """(the batch, ids, offsets of its rows in ids) of record batches whose
+        second column is text. They are joined or cut to a bounded length, as more
+        text holds fewer different words; a row is never parted."""
+        held, size = [], 0
+        for batch in batches:
+            for part in self._cut(batch):
+                held.append(part)
+                size += part.column(1).nbytes
+                if size >= PART:
+                    yield self._encoded(held)
+                    held, size = [], 0
+        if held:
+            yield self._encoded(held)
+
+    def _encoded(self, held: list[pa.RecordBatch]):
+        batch = held[0] if len(held) == 1 else pa.concat_batches(held)
+        return batch, *self.encode(batch.column(1))
+
+    @staticmethod
+    def _cut(batch: pa.RecordBatch):
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
         at = 0
-        while at < len(texts):
-            before = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, before + PART, side="right")))
-            yield at, to - at, *self.encode(texts.slice(at, to - at))
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART, side="right")))
+            yield batch.slice(at, to - at)
             at = to
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +117,16 @@ class WordEncoder:
         return ids
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """A word that ends in a full stop or comma after an ASCII letter is the
-        word's ids and the mark's: letters and marks are always apart."""
+        """A word that ends in ASCII marks after a letter is the word's ids and the
+        marks': letters and marks are always apart, but for an apostrophe's."""
         known, older, out = self.known, self.older, {}
         ends, whole = {}, {}
         for w in new:
             if (ids := older.get(w)) is not None:
                 out[w] = ids
-            elif len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha():
-                stem, mark = ends[w] = w[:-1], w[-1]
-                for x in (stem, mark):
+            elif len(w) > 1 and w[-1] in MARKS and (stem := w.rstrip(MARKS)) and _stays(stem[-1]):
+                ends[w] = stem, w[len(stem) :]
+                for x in ends[w]:
                     ids = known.get(x) or older.get(x)
                     if ids is None:
                         whole[x] = None
@@ -142,6 +161,12 @@ class WordEncoder:
         return {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(words, got)}
 
 
+def _stays(c: str) -> bool:
+    """A letter that is one letter in lower case and normal form too; of others
+    than Latin ones this is not asked."""
+    return c.isalpha() and c < "\u0180" and c != "\u0130"
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows' ids with ``end`` after each row's, and the new offsets."""
     rows = np.arange(len(offsets) - 1)
