@@ -20,6 +20,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BLOCK = 64
 SEED = 20_11
+#: Settled documents, the smallest, that each block hands on for its source's last step.
+SPARE = 8
 #: Repeats of one row are made in runs of so many.
 RUN = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -141,13 +143,15 @@ def dependent_rounding(units: DataFrame, block: int = BLOCK) -> DataFrame:
     most = many.agg(F.max("blocks")).first()[0] or 0
     settled = []
     while True:
-        done = materialise(_round(level), "rounded")
-        items = F.when(F.col("blocks") == 1, _closed(F.col("open"), F.col("done"))).otherwise(F.col("done"))
-        settled.append(done.select("source", F.explode(items).alias("item")))
+        done = materialise(_round(level).withColumn("done", F.array_sort("done")), "rounded")  # largest first
+        n = F.size("done")
+        stay = F.when(F.col("blocks") == 1, _closed(F.col("open"), F.col("done"))).otherwise(F.slice("done", 1, F.greatest(n - SPARE, F.lit(0))))
+        settled.append(done.select("source", F.explode(stay).alias("item")))
         if most <= 1:
             break
+        on = F.concat(F.array("open"), F.slice("done", F.greatest(n - SPARE + 1, F.lit(1)), SPARE))
         level = done.where("blocks > 1").select(
-            "source", F.ceil(F.col("blocks") / block).alias("blocks"), F.floor(F.col("block") / block).alias("block"), F.col("open").alias("item")
+            "source", F.ceil(F.col("blocks") / block).alias("blocks"), F.floor(F.col("block") / block).alias("block"), F.explode(on).alias("item")
         )
         most = -(-most // block)
     out = settled[-1]
