@@ -125,15 +125,22 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS,
     ids last), of the smallest row hash where that is repeated. All columns stay."""
     from maskloom.llm.util import row_hash
 
-    key, times = fresh(docs, "row_key"), fresh(docs, "row_times")
+    key = fresh(docs, "row_key")
     keyed = docs.withColumn(key, row_hash(docs))
     narrow = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("key"))
     rows = materialise(fingerprints(narrow, words).drop("text"), "fingerprints")
     found = components(links(rows, bits, segments))
+    return keep_least(keyed, key, rows, found, "fp").select(*docs.columns)
+
+
+def keep_least(keyed: DataFrame, key: str, rows: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """The rows of ``keyed`` (row hashes in ``key``) that stay: one a component
+    ``found`` of the classes ``by`` in ``rows`` (doc_id, key, ``by``)."""
+    times = fresh(keyed, "row_times")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    classes = rows.groupBy("fp").agg(F.min(order).alias("least"))
-    rooted = classes.join(found, classes["fp"] == found["node"], "left")
-    kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    classes = rows.groupBy(by).agg(F.min(order).alias("least"))
+    rooted = classes.join(found, classes[by] == found["node"], "left")
+    kept = rooted.groupBy(F.coalesce("root", by).alias("root")).agg(F.min("least").alias("least"))
     kept = kept.select(F.col("least.key").alias("key"))
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     kept = materialise(kept.join(again, "key").select(F.col("key").alias(key), F.col("times").alias(times)), "kept")
@@ -141,4 +148,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS,
     whole = keyed.join(kept.hint("merge"), key)
     once = whole.where(F.col(times) == 1)
     repeated = whole.where(F.col(times) > 1).dropDuplicates([key])
-    return once.unionByName(repeated).select(*docs.columns)
+    return once.unionByName(repeated)
