@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit, and what is assigned to
-a name such as ``password``. Their features are length, changes between kinds of
+Candidates are whole runs, of any length, of 16 or more key characters with a digit,
+and what is assigned to a name such as ``password``. Their features are length, changes between kinds of
 characters, how much of them a dictionary covers, whether they lie in a path, and
 the words beside them. The forest is trained on labelled findings and turned
 into one Column expression, so scanning a table is a projection: no join, no
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from maskloom.llm.util import fresh
 
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,255}[0-9])[A-Za-z0-9+/_-]{16,256}+={0,2}"
-GIVEN = r"(?<=(?:password|passwd|secret|token|api_key|apikey)[\"']?[ ]?[:=][ ]?[\"']?)[A-Za-z0-9+/_-]{8,256}+={0,2}"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+GIVEN = r"(?<=(?:password|passwd|secret|token|api_key|apikey)[\"']?[ ]?[:=][ ]?[\"']?)[A-Za-z0-9+/_-]{8,}+={0,2}"
 CANDIDATE = f"{GIVEN}|{RUN}"
 #: What a text must hold for any candidate; a quick test before the long one.
 NEAR, AFTER = 40, 16

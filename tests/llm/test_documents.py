@@ -279,6 +279,18 @@ def test_secrets(spark, docs):
     assert secrets.redact(docs, forest).columns == docs.columns and secrets.redact(docs, forest).count() == len(rows())
 
 
+def test_secrets_takes_whole_runs(spark):
+    hexa = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" * 10
+    late = "AbCdEfGhIj" * 30 + "1" + "kLmNoPqRsT" * 500
+    texts = {1: f"token = {hexa} end", 2: f"see {late} end"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    forest = secrets.Forest.train(secrets.labelled_findings(spark))
+    spans = {(r["doc_id"], r["start"], r["end"]) for r in secrets.scan(df, forest).collect()}
+    assert spans == {(1, 8, 408), (2, 4, 4 + len(late))}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, forest).collect()}
+    assert clean[1] == "token = [SECRET] end"
+
+
 def test_secret_forest_holds_out(spark):
     findings = secrets.labelled_findings(spark).withColumn("n", F.monotonically_increasing_id())
     forest = secrets.Forest.train(findings.where("n % 4 > 0"))
