@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from maskloom.llm.util import fresh
 
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
-GIVEN = r"(?<=(?:password|passwd|secret|token|api_key|apikey)[\"']?[ ]?[:=][ ]?[\"']?)[A-Za-z0-9+/_-]{8,}+={0,2}"
+#: Names that say so, in any case; what is assigned to them may hold the usual marks.
+NAMES = "password|passwd|pwd|secret|token|api[ _-]?key|auth|bearer|credential|private|access[ _-]?key"
+MARKED = "A-Za-z0-9+/_!@#$%^&*~-"
+# the first look-behind, of one character, spares most places the second
+GIVEN = rf"(?<=[:= \"'])(?<=(?i:{NAMES})s?[\"']?[ ]?[:=][ ]?[\"']?)[.?{MARKED}]{{7,}}[{MARKED}]={{0,2}}"
 CANDIDATE = f"{GIVEN}|{RUN}"
 #: What a text must hold for any candidate; a quick test before the long one.
 NEAR, AFTER = 40, 16
-SECRET_WORDS = r"(?i)(?:password|passwd|pwd|secret|token|api[ _-]?key|auth|bearer|credential|private|access[ _-]?key)[^A-Za-z0-9]{0,6}$"
+SECRET_WORDS = rf"(?i)(?:{NAMES})s?[^A-Za-z0-9]{{0,6}}$"
 OTHER_WORDS = r"(?i)(?:commit|revision|sha|sha1|sha256|md5|checksum|digest|isbn|order|invoice|phone|tel|card|uuid|guid|version|build|page|date|file|path|ticket)[^A-Za-z0-9]{0,6}$"
 #: Parts of words that names and paths are made of.
 DICTIONARY = (
@@ -40,7 +44,7 @@ DICTIONARY = (
     "thread ticket time title token tool topic track travel type update upload user util value vendor version video view volume web week widget "
     "window word work world year"
 )
-FEATURES = ("length", "changes", "distinct", "digits", "upper", "hexadecimal", "covered", "slashes", "dashes", "in_path", "secret_word", "other_word", "assigned", "issued", "longest_letters")
+FEATURES = ("length", "changes", "distinct", "digits", "upper", "hexadecimal", "covered", "slashes", "dashes", "in_path", "secret_word", "other_word", "assigned", "issued", "longest_letters", "marks")
 #: Marks with which issuers begin their keys (fixed values of public formats).
 ISSUED = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|xox[abp]-|sk_live_|sk_test_|AIza|glpat-|npm_)"
 TREES, DEPTH, SEED = 24, 7, 17
@@ -71,6 +75,7 @@ def features(token: Column, before: Column, after: Column) -> Column:
         "assigned": yes(F.rlike(before, F.lit(r"[:=]\s?[\"']?$"))),
         "issued": yes(F.rlike(token, F.lit(ISSUED))),
         "longest_letters": F.array_max(F.transform(F.split(token, "[^a-z]"), lambda w: F.length(w))) / size,
+        "marks": 1 - left("[!@#$%^&*~?]") / size,
     }
     return F.struct(*[values[f].cast("double").alias(f) for f in FEATURES])
 
@@ -120,6 +125,11 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         F.concat(pick(10, ["ghp_", "sk_live_", "AIza", "xoxb-"]), text(11, lower + upper + digits, F.lit(30))),
         text(12, hexa, F.lit(16) + draw(13, 8)),
         text(14, lower + digits, F.lit(10) + draw(15, 12)),
+        F.concat(made, text(57, digits, draw(58, 3) + 1)),
+        made,
+        F.concat(text(59, upper + lower, F.lit(3)), text(60, lower + upper + digits + "!@#$%^&*", F.lit(5) + draw(61, 12)), text(62, digits, F.lit(2))),
+        F.concat(F.substring(made, 1, 6), text(63, digits, draw(64, 4) + 1), word(65)),
+        F.concat(text(68, lower, F.lit(6)), text(69, digits, F.lit(2) + draw(70, 3))),
     ]
     others = [
         text(16, digits, F.lit(16) + draw(17, 4)),
@@ -131,6 +141,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         F.concat_ws("_", word(38), made, text(39, digits, F.lit(2))),
         F.repeat(text(41, digits, F.lit(2)), 9),
         text(42, hexa, F.lit(40)),
+        F.concat(word(18), pick(66, ["", "_", "-", "."]), word(19), pick(66, ["", "_", "-", "."]), word(20)),
     ]
     choose = lambda k, xs: reduce(lambda rest, ix: F.when(draw(k, len(xs)) == ix[0], ix[1]).otherwise(rest), enumerate(xs[1:], 1), xs[0])
     is_secret = draw(50, 2) == 1
@@ -139,9 +150,11 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         is_secret.cast("double").alias("secret"),
         F.when(is_secret, choose(51, keys)).otherwise(choose(52, others)).alias("token"),
         # short or plain hexadecimal strings are keys only where a name says so
-        F.when(is_secret & (which.isin(1, 5, 6)), pick(53, ["password=", 'token = "', "secret: ", 'api_key="', "passwd="]))
+        F.when(is_secret & (which.isin(1, 5, *range(6, len(keys)))), pick(53, ["password=", 'token = "', "secret: ", 'api_key="', "passwd="]))
         .when(is_secret, secret_before)
         .when(draw(52, len(others)) == 8, pick(54, ["commit ", "sha1 ", "revision ", "checksum: ", "digest="]))
+        # plain words, also where a name says so
+        .when(draw(52, len(others)) == 9, pick(67, ["password=", 'token = "', "secret: ", 'api_key="', "auth: "]))
         .otherwise(F.when(draw(52, len(others)) == 2, pick(55, ["/", "https://example.org/", "see /", "path "])).otherwise(plain_before))
         .alias("before"),
         pick(56, [" ", '"', "\n", ". ", ""]).alias("after"),

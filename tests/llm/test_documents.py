@@ -291,6 +291,24 @@ def test_secrets_takes_whole_runs(spark):
     assert clean[1] == "token = [SECRET] end"
 
 
+def test_secrets_by_names_of_any_case_and_with_marks(spark):
+    values = {
+        "PASSWORD=": "hunter2secret",
+        "API_KEY=": "abcdefgh12",
+        "Secret: ": "hunter2xyz12",
+        "pwd=": "hunter2secret",
+        "DB_PASSWORD=": "correcthorsebattery",
+        "password=": "Abc!2345678",
+        "credentials: '": "Abc.23!45678",
+        "AWS_ACCESS_KEY=": "hunter2secret12",
+    }
+    plain = ["password=page_item_name", "auth: historymessage", "the password is hunter", "no secrets here: at all"]
+    texts = [f"a {name}{value}. z" for name, value in values.items()] + plain
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert [clean[i] for i in range(len(texts))] == [f"a {name}[SECRET]. z" for name in values] + plain
+
+
 def test_secret_forest_holds_out(spark):
     findings = secrets.labelled_findings(spark).withColumn("n", F.monotonically_increasing_id())
     forest = secrets.Forest.train(findings.where("n % 4 > 0"))
