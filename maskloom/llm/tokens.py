@@ -1,9 +1,10 @@
 """Encoding of whole texts with a vocabulary of the ``tokenizers`` library.
 
-The pre-tokeniser used here never joins what white space parts, so a text's ids
-are its words' ids in order. A batch is cut into words and its distinct words
-are found by Arrow; each worker keeps a bounded table of words it has encoded,
-so the library sees a word about once, not once a row.
+The pre-tokeniser used here never joins what white space parts, nor a letter and
+the ASCII marks after it, so a text's ids are those of its words' pieces in order.
+Arrow cuts a batch into words, words into pieces, and finds the distinct pieces;
+each worker keeps a table of pieces it has encoded, bounded in bytes, so the
+library sees a frequent piece about once, not once a row.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker learns before those not met since are forgotten. Speed only.
-CACHE_WORDS = 400_000
-#: Longer words are encoded each time they occur.
+#: Bytes of pieces and ids that a worker keeps, in two generations. Speed only.
+CACHE_BYTES = 16 << 20
+#: Longer pieces are encoded each time they occur.
 CACHE_LENGTH = 64
 #: Bytes of text encoded at once.
-PART = 4 << 20
+PART = 2 << 20
 #: What may be cut off a word's end: with an apostrophe, the pre-tokeniser may not.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Letters after which marks may be cut: the same in lower case and normal form.
+LETTER = "[a-zß-öø-ÿ]$"
+#: Pieces handed to the library as one line.
+LINE = 1024
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,33 +36,33 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def encoder(path: str) -> "WordEncoder":
     return WordEncoder(path)
 
 
 class WordEncoder:
-    """Gives texts' ids. A null text has none. Strings that look like special
-    tokens are ordinary text. A vocabulary whose normaliser is not known to keep
-    words apart encodes whole texts."""
+    """Gives texts' ids, as ``Tokenizer.encode(text, add_special_tokens=False)``
+    does. A null text has none. A text that holds the opening of a special token
+    goes to the library whole, as all do where a vocabulary's normaliser is not
+    known to keep words apart."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         folds = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = folds == ["NFC", "Replace", "Lowercase"]
+        specials = [t["content"] for t in rules.get("added_tokens", [])]
+        self.by_word = folds == ["NFC", "Replace", "Lowercase"] and all(s.startswith("<|") for s in specials)
         ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # words met lately move back to known
-        self.cache_words = cache_words
+        self.cache_bytes = cache_bytes
+        self.known = self.older = _table([], [])  # pieces met lately move back to known
 
     def parts(self, batches):
         """(the batch, ids, offsets of its rows in ids) of record batches whose
@@ -91,80 +96,100 @@ class WordEncoder:
         """All ids (int32), and where each row's begin and the last's end."""
         texts = pc.fill_null(texts, "")
         if not self.by_word:
-            lists = pa.array([x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
-            return lists.values.to_numpy(), lists.offsets.to_numpy()
+            return _flat(self._whole(texts))
+        special = pc.match_substring(texts, "<|")
+        at = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        ids, ends = self._by_words(pc.if_else(special, "", texts) if len(at) else texts)
+        if len(at):  # empty so far: their ids go in between the others'
+            theirs, theirs_end = _flat(self._whole(texts.take(pa.array(at))))
+            size = np.diff(theirs_end)
+            ids = np.insert(ids, np.repeat(ends[at], size), theirs)
+            added = np.zeros(len(ends), np.int64)
+            added[at + 1] = size
+            ends = ends + np.cumsum(added)
+        return ids, ends
+
+    def _whole(self, texts: pa.Array) -> pa.ListArray:
+        got = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+        return _lists([np.array(x.ids, np.int32) for x in got])
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = words.values.dictionary_encode()
-        ids = self.lookup(coded.dictionary.to_pylist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(starts), pa.Array.from_buffers(pa.int32(), int(starts[-1]), [None, pa.py_buffer(b"".join(ids))]))
-        taken = lists.take(coded.indices)
-        ends = np.concatenate([[0], np.cumsum(length[coded.indices.to_numpy()])])
-        at = words.offsets.to_numpy()
-        return taken.values.to_numpy()[taken.offsets[0].as_py() : taken.offsets[-1].as_py()] if len(taken) else np.zeros(0, np.int32), ends[at]
-
-    def lookup(self, words: list[str]) -> list[bytes]:
-        """Each word's ids as little-endian 32-bit integers."""
-        ids = list(map(self.known.get, words))
-        gone = [i for i, x in enumerate(ids) if x is None]
-        if gone:
-            if len(self.known) > self.cache_words:
-                self.older, self.known = self.known, {}
-            learnt = self._learn([words[i] for i in gone])
-            for i in gone:
-                ids[i] = learnt[words[i]]
-        return ids
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """A word that ends in ASCII marks after a letter is the word's ids and the
-        marks': letters and marks are always apart, but for an apostrophe's."""
-        known, older, out = self.known, self.older, {}
-        ends, whole = {}, {}
-        for w in new:
-            if (ids := older.get(w)) is not None:
-                out[w] = ids
-            elif len(w) > 1 and w[-1] in MARKS and (stem := w.rstrip(MARKS)) and _stays(stem[-1]):
-                ends[w] = stem, w[len(stem) :]
-                for x in ends[w]:
-                    ids = known.get(x) or older.get(x)
-                    if ids is None:
-                        whole[x] = None
-                    else:
-                        out[x] = ids
+        pieces = _halves(coded.dictionary).dictionary_encode()
+        halves = self.lookup(pieces.dictionary).take(pieces.indices)
+        # a word's ids: its two pieces', which lie side by side
+        per_word = pa.ListArray.from_arrays(halves.offsets[::2], halves.values)
+        ids, ends = _flat(per_word.take(coded.indices))
+        return ids, ends[words.offsets.to_numpy()]
+
+    def lookup(self, pieces: pa.StringArray) -> pa.ListArray:
+        """The ids of each of ``pieces``, all different."""
+        at = pc.index_in(pieces, value_set=self.known["piece"])
+        new = pieces.filter(pc.is_null(at))
+        if len(new):
+            back = pc.index_in(new, value_set=self.older["piece"])
+            moved = self.older.take(pc.drop_null(back))
+            learnt = self._learn(new.filter(pc.is_null(back)))
+            short = learnt.filter(pc.less_equal(pc.binary_length(learnt["piece"]), CACHE_LENGTH))
+            every = pa.concat_batches([self.known, moved, learnt])
+            kept = pa.concat_batches([self.known, moved, short])
+            at = pc.index_in(pieces, value_set=every["piece"])
+            if kept.nbytes > self.cache_bytes // 2:
+                self.known, self.older = _table([], []), kept
             else:
-                whole[w] = None
-        letters = [w for w in whole if w.isalpha()]
-        for at in range(0, len(letters), 1024):
-            out.update(self._letters(letters[at : at + 1024]))
-        rest = [w for w in whole if w not in out]
-        for at in range(0, len(rest), 1024):
-            out.update(self._one_by_one(rest[at : at + 1024]))
-        for w, (stem, mark) in ends.items():
-            out[w] = out[stem] + out[mark]
-        known.update({w: ids for w, ids in out.items() if len(w) <= CACHE_LENGTH})
-        return out
-
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters alone are one pre-token each, whose last id is one
-        that ends a word: a line of them is encoded at once and cut there."""
-        got = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
-        ids = np.array(got[0].ids, dtype="<u4")
-        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(ends) != len(words):
-            return {}
-        data = ids.tobytes()
-        return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends)}
-
-    def _one_by_one(self, words: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(words, got)}
-
-
-def _stays(c: str) -> bool:
-    """A letter that is one letter in lower case and normal form too; of others
-    than Latin ones this is not asked."""
-    return c.isalpha() and c < "\u0180" and c != "\u0130"
+                self.known = kept
+        else:
+            every = self.known
+        return every["ids"].take(at)
+
+    def _learn(self, new: pa.StringArray) -> pa.RecordBatch:
+        """Pieces of letters alone are one pre-token each, whose last id is one that
+        ends a word: a line of them is encoded at once and cut there."""
+        letters = pc.utf8_is_alpha(new)
+        lined, others = new.filter(letters).to_pylist(), new.filter(pc.invert(letters)).to_pylist()
+        tables = []
+        for at in range(0, len(lined), LINE):
+            line = lined[at : at + LINE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(line):
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                tables.append(_table(line, pa.ListArray.from_arrays(offsets, pa.array(ids))))
+            else:
+                others += line
+        for at in range(0, len(others), LINE):
+            part = pa.array(others[at : at + LINE], pa.string())
+            tables.append(_table(part, self._whole(part)))
+        return pa.concat_batches(tables) if tables else _table([], [])
+
+
+def _table(pieces, ids) -> pa.RecordBatch:
+    lists = ids if isinstance(ids, pa.Array) else pa.array(ids, pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.string()), lists], ["piece", "ids"])
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows, and where each row's begin and the last's end."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _halves(words: pa.StringArray) -> pa.StringArray:
+    """Each word as two strings of the same bytes: up to the ASCII marks after its
+    last letter, and these; the second is empty where there are none."""
+    stems = pc.utf8_rtrim(words, characters=MARKS)
+    parted = pc.match_substring_regex(stems, LETTER).to_numpy(zero_copy_only=False)
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else np.zeros(1, np.int32)
+    both = np.empty(2 * len(words) + 1, np.int32)
+    both[::2] = offsets
+    both[1::2] = np.where(parted, offsets[:-1] + pc.binary_length(stems).to_numpy(), offsets[1:])
+    return pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(both), words.buffers()[2])
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
