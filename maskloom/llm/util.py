@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 
 from maskloom import shared_dir, ship
 
-#: Rows handed to Python at once; keeps a batch of the longest documents small.
-BATCH_ROWS = 1000
+#: Upper bounds of these settings for tables of whole documents. A column of 4096
+#: texts at once is tens of MB, an Arrow batch may be 64 MB: in every task.
+BOUNDS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20,
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+    "spark.sql.parquet.columnarReaderBatchSize": 256,
+}
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session of ``df``, with Arrow batches bounded for whole documents and
-    this package on the executors."""
+    """The session of ``df``, with batches bounded for whole documents and this
+    package on the executors. Plans run after they are made, so the bounds stay set;
+    lower ones of the caller's are left."""
     spark = df.sparkSession
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, most in BOUNDS.items():
+        now = spark.conf.get(name, str(most)).removesuffix("b")
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(name, str(most))
     return spark
 
 
