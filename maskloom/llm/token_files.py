@@ -35,8 +35,8 @@ def write_token_files(
     """Encode every whole text and write its ids, with ``end_id`` appended.
 
     A null or empty text has the end id alone. Rows with a null doc_id come
-    first; rows that share a doc_id stay, in a fixed order by their text. An
-    empty table writes no rows. Columns other than doc_id and text are not
+    first; rows that share a doc_id stay, in a fixed order by a hash of their
+    text. An empty table writes no rows. Columns other than doc_id and text are not
     written. ``parts``: number of files (default: the session's shuffle
     partitions); a doc_id that holds many rows is spread over several.
     """
@@ -62,10 +62,9 @@ def write_token_files(
                 ["doc_id", "part", "part_start", "n_tokens", "ids"],
             )
 
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the last two keys only part rows that share a doc_id
-    keys = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id() % 1024]
-    rows = doc.repartitionByRange(parts, *keys).sortWithinPartitions("doc_id", "text")
+    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    # the last key only parts rows that are the same
+    rows = doc.repartitionByRange(parts, "doc_id", "hash", F.monotonically_increasing_id() % 1024).sortWithinPartitions("doc_id", "hash", "text")
     options = {
         "compression": "zstd",
         "parquet.block.size": row_group_bytes,
