@@ -1,27 +1,32 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's target sets how often each of its documents is to be taken: a whole
-number of times, and once more with a fractional probability. Two documents'
-fractions are paired; a random transfer between them, which keeps both expected
-values and the words they take together, makes one of them integral. What is
-left of each block of documents, one fraction, goes to the next level of a
-reduction tree, so a source ends with a single fraction, of one of its smaller
-documents as a rule, and its words near the target. DataFrame functions only.
+number of times, and once more with a fractional probability. Fractions are
+paired; a random transfer between two, which keeps both expected values and the
+words they take together, makes one of them integral.
+
+At the leaves of the reduction tree a block holds documents of one source and one
+fraction. Its largest document is paired with all the others, which share their
+fraction and so move as one; then the next largest with what is left of them. So
+large documents are settled while smaller ones can make up for their words, and
+the block's open fraction is as a rule its smallest document's. Open fractions go
+to the next levels of the tree and are paired one with another. A source ends with
+a single fraction, settled by its own probability: every document is taken at its
+rate on average, and a source's words are off its target by less than one document's.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.util import fresh, materialise, row_hash
+from maskloom.llm.util import fresh, materialise, row_hash, session
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BLOCK = 64
 SEED = 20_11
-#: Settled documents, the smallest, that each block hands on for its source's last step.
-SPARE = 8
 #: Repeats of one row are made in runs of so many.
 RUN = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,26 +38,43 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _turns(by: DataFrame) -> DataFrame:
+    """``by`` (source, one row each, and others) with the column turn: 0, 1, .. by
+    code point, null last. A distributed sort numbers rows within its ranges; how
+    many rows the ranges before hold, a number a range, comes to the driver."""
+    sorted_ = by.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id())
+    sorted_ = materialise(sorted_, "turns")
+    part = F.shiftright("place", 33).cast("int")
+    before, bases = 0, []
+    for r in sorted(sorted_.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        bases.append((r["part"], before))
+        before += r["n"]
+    base = by.sparkSession.createDataFrame(bases, "part int, base long")
+    turned = sorted_.withColumn("part", part).join(F.broadcast(base), "part")  # a row a range
+    within = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return turned.withColumn("turn", F.col("base") + within).drop("part", "base", "place")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """``sizes``: source, size. Per source (null is one): source_size, target.
 
     Sources take ``weights`` in turn by code point, null last, and share the sum
     of all sizes by weight. A target stops at ``most`` times its source's size;
-    the excess is shared again until none is above: target = min(most * size,
-    level * weight), the level being the largest that a prefix of sources,
-    ordered by most * size / weight and held at their stop, leaves to the rest.
+    the excess is shared again by weight until none is above. A round is one
+    aggregate over the table of sources, which may be long.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    by = by.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
-    by = by.withColumn("stop", F.lit(float(most)) * F.col("source_size"))
-    every = Window.partitionBy()
-    earlier = Window.orderBy(F.col("stop") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    held = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0.0))
-    level = (F.sum("source_size").over(every) - held("stop")) / (F.sum("weight").over(every) - held("weight"))
-    by = by.withColumn("level", level)
-    by = by.withColumn("level", F.max("level").over(every))
-    return by.select("source", "source_size", F.least("stop", F.col("level") * F.col("weight")).alias("target"))
+    by = _turns(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    by = by.select("source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("stop"))
+    by = materialise(by, "weights")
+    total, level, held = by.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        over = F.col("stop") < F.lit(level) * F.col("weight")
+        n, stops, open_ = by.agg(F.count(F.when(over, 1)), F.sum(F.when(over, F.col("stop"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == held or not open_:  # held ones stay held: the level only rises
+            break
+        level, held = max(0.0, total - (stops or 0.0)) / open_, n
+    return by.select("source", "source_size", F.least("stop", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _bind(value: Column, use) -> Column:
@@ -100,60 +122,84 @@ def _transfer(state: Column, b: Column) -> Column:
     return _bind(state, step)
 
 
-#: A document in a block; larger ones come first, so that the fraction left is a small one's.
+#: A document in a block; larger ones come first.
 ITEM = "struct<order:bigint,id:bigint,key:bigint,copy:bigint,size:bigint,whole:bigint,x:double>"
 
 
-def _round(items: DataFrame) -> DataFrame:
-    """A level of the tree. ``items``: source, blocks, block, item. Gives source,
-    blocks, block, done (the documents settled) and open (that which may not be)."""
-    start = F.struct(F.lit(None).cast(ITEM).alias("open"), F.array().cast(f"array<{ITEM}>").alias("done"))
-    block = items.groupBy("source", "blocks", "block").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    folded = block.select("source", "blocks", "block", F.aggregate("items", start, _transfer).alias("f"))
-    return folded.select("source", "blocks", "block", "f.open", "f.done")
+def _settle_equal(s: Column, b: Column) -> Column:
+    """Pair document ``b`` of the block with the documents after it, ``rest`` words
+    in all, that share the fraction ``y`` and move together."""
+    rest = s["rest"] - b["size"]
+    y = s["y"]
+    add = lambda x: F.concat(s["done"], F.array(b.withField("x", x)))
+    state = lambda y, open_, done: F.struct(y.alias("y"), rest.alias("rest"), open_.alias("open"), done.alias("done"))
+    none = F.lit(None).cast(ITEM)
+    ratio = rest / b["size"]
+    up, down = F.least(1 - y, y * ratio), F.least(y, (1 - y) * ratio)  # b gains, the rest lose; and back
 
+    def moved(t: Column) -> Column:
+        bx, left = _snap(y + t), _snap(y - t / ratio)
+        both = F.struct(bx.alias("bx"), left.alias("left"))
+        return _bind(both, lambda m: F.when(m["bx"].isin(0.0, 1.0), state(m["left"], none, add(m["bx"]))).otherwise(state(F.round(m["left"]), b.withField("x", m["bx"]), s["done"])))
 
-def _closed(last: Column, done: Column) -> Column:
-    """All documents of a source's final block, settled. The last fraction goes
-    to the nearer side; documents beside it, larger ones first, are settled the
-    other way where that brings the source's words nearer to its target."""
-    off = (F.round(last["x"]) - last["x"]) * last["size"]
+    paired = _bind(F.when(_chance(F.lit(0), b["id"]) * (up + down) < down, up).otherwise(-down), moved)
+    return F.when(y.isin(0.0, 1.0), state(y, s["open"], add(y))).when(rest == 0, state(y, b.withField("x", y), s["done"])).otherwise(paired)
 
-    def turn(s: Column, d: Column) -> Column:
-        change = F.when(d["x"] == 1.0, -d["size"]).otherwise(d["size"]).cast("double")
-        turns = F.abs(s["off"] + change) < F.abs(s["off"])
-        new = d.withField("x", F.when(turns, 1.0 - d["x"]).otherwise(d["x"]))
-        return F.struct(F.when(turns, s["off"] + change).otherwise(s["off"]).alias("off"), F.concat(s["all"], F.array(new)).alias("all"))
 
-    start = F.struct(off.cast("double").alias("off"), F.array(last.withField("x", F.round(last["x"]))).alias("all"))
-    return F.aggregate(F.filter(done, lambda d: d["size"] > 0), start, turn, lambda s: s["all"])
+def _leaves(items: DataFrame) -> DataFrame:
+    """``items``: source, x, block, item; those of a block share x. Gives source,
+    done (documents settled) and open (the one that may not be, or null)."""
+    block = items.groupBy("source", "x", "block").agg(F.array_sort(F.collect_list("item")).alias("items"), F.sum("item.size").alias("rest"))
+    none, empty = F.lit(None).cast(ITEM), F.array().cast(f"array<{ITEM}>")
+    start = F.struct(F.col("x").alias("y"), F.col("rest").alias("rest"), none.alias("open"), empty.alias("done"))
+    folded = block.select("source", F.aggregate("items", start, lambda s, b: _bind(s, lambda t: _settle_equal(t, b))).alias("f"))
+    return folded.select("source", "f.open", "f.done")
+
+
+def _pairs(items: DataFrame) -> DataFrame:
+    """A level of the tree above. ``items``: source, last, block, item. Gives
+    source, last, done (the documents settled) and open (that which may not be)."""
+    start = F.struct(F.lit(None).cast(ITEM).alias("open"), F.array().cast(f"array<{ITEM}>").alias("done"))
+    block = items.groupBy("source", "last", "block").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    folded = block.select("source", "last", F.aggregate("items", start, _transfer).alias("f"))
+    return folded.select("source", "last", "f.open", "f.done")
+
+
+def _dealt(items: DataFrame, by: list[str], block: int, level: int) -> DataFrame:
+    """``items`` with blocks of about ``block`` rows within ``by``, dealt by the
+    hash of their document: last (whether there is one block only) and block."""
+    blocks = F.ceil(F.count(F.lit(1)) / block)
+    many = items.groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg(blocks.alias("blocks"))
+    on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]
+    dealt = items.join(many, on).drop(*[f"of_{c}" for c in by])
+    at = F.pmod(F.xxhash64(F.lit(SEED + level), "item.id"), F.col("blocks"))
+    return dealt.withColumn("block", at).withColumn("last", F.col("blocks") == 1).drop("blocks")
 
 
 def dependent_rounding(units: DataFrame, block: int = BLOCK) -> DataFrame:
     """``units``: source, key, copy, size (over 0), rate (times to take it, any
-    number of at least 0); key and copy together tell a unit. Gives source, key,
-    copy, size and taken (whole times), rate on average; the sum of size * taken
-    of a source is within half its last unit of that of size * rate."""
-    id_ = F.xxhash64(F.lit(SEED), "key", "copy")
+    number of at least 0); source, key, copy and size together tell a unit. Gives
+    source, key, copy, size and taken (whole times). A unit's expected taken is its
+    rate; the sum of size * taken of a source is less than one of its units off
+    that of size * rate."""
+    id_ = F.xxhash64(F.lit(SEED), "source", "key", "copy", "size")
     whole = F.floor("rate")
     item = F.struct((-F.col("size")).alias("order"), id_.alias("id"), "key", "copy", "size", whole.cast("long").alias("whole"), _snap(F.col("rate") - whole).alias("x")).cast(ITEM)
-    many = units.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    rows = units.select("source", item.alias("item")).join(many, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    level = rows.select("source", "blocks", F.pmod("item.id", "blocks").alias("block"), "item")
-    most = many.agg(F.max("blocks")).first()[0] or 0
-    settled = []
+    rows = units.select("source", item.alias("item")).withColumn("x", F.col("item.x"))
+    done = materialise(_leaves(_dealt(rows, ["source", "x"], block, 0)), "leaves")
+    settled = [done.select("source", F.explode("done").alias("item"))]
+    level = 1
     while True:
-        done = materialise(_round(level).withColumn("done", F.array_sort("done")), "rounded")  # largest first
-        n = F.size("done")
-        stay = F.when(F.col("blocks") == 1, _closed(F.col("open"), F.col("done"))).otherwise(F.slice("done", 1, F.greatest(n - SPARE, F.lit(0))))
-        settled.append(done.select("source", F.explode(stay).alias("item")))
-        if most <= 1:
+        open_ = done.where("open is not null").select("source", F.col("open").alias("item"))
+        dealt = materialise(_dealt(open_, ["source"], block, level), "open")
+        if dealt.isEmpty():
             break
-        on = F.concat(F.array("open"), F.slice("done", F.greatest(n - SPARE + 1, F.lit(1)), SPARE))
-        level = done.where("blocks > 1").select(
-            "source", F.ceil(F.col("blocks") / block).alias("blocks"), F.floor(F.col("block") / block).alias("block"), F.explode(on).alias("item")
-        )
-        most = -(-most // block)
+        done = materialise(_pairs(dealt), "paired")
+        settled.append(done.select("source", F.explode("done").alias("item")))
+        ends = done.where("last").select("source", F.col("open").alias("item"))
+        by_chance = F.when(_chance(F.lit(-1), F.col("item.id")) < F.col("item.x"), 1.0).otherwise(0.0)
+        settled.append(ends.withColumn("item", F.col("item").withField("x", by_chance)))
+        done, level = done.where("not last"), level + 1
     out = settled[-1]
     for part in settled[:-1]:
         out = out.unionByName(part)
@@ -192,12 +238,14 @@ def mix_documents(docs: DataFrame, **kind) -> DataFrame:
     """Per document doc_id, size, source_size, target, taken. Null texts have
     size 0; a null source is a source; repeated doc_ids and null ones stay rows
     of their own; an empty table stays empty; other columns have no effect."""
+    session(docs)
     sized = docs.select(F.col("doc_id").cast("long").alias("key"), "source", n_words(F.col("text")).alias("size"))
     return mix(sized, **kind).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, **kind) -> DataFrame:
     """The mix itself: each row of ``docs``, all columns, as often as it is taken."""
+    session(docs)
     key, times, nth, repeats = (fresh(docs, x) for x in ("row_key", "row_times", "row_nth", "row_repeats"))
     keyed = docs.withColumn(key, row_hash(docs))
     sized = keyed.select(F.col(key).alias("key"), "source", n_words(F.col("text")).alias("size"))
