@@ -41,17 +41,17 @@ def whole(v, w):
     return sum(f(a) * f(b) for a, b in zip(v, w))
 
 
-@pytest.mark.parametrize("strip", [64, 8192])
-def test_nearest(spark, strip):
+@pytest.mark.parametrize("strip, block", [(64, 16), (64, 16384), (8192, 16384)])
+def test_nearest(spark, strip, block):
     df, rows = table(spark)
-    got = [tuple(r) for r in vectors.nearest(df, strip=strip).collect()]
+    got = [tuple(r) for r in vectors.nearest(df, strip=strip, block=block).collect()]
     assert Counter(got) == Counter(brute(rows, 20, 20, dot, False))
 
 
-@pytest.mark.parametrize("strip", [64, 16384])
-def test_exact_top_k(spark, strip):
+@pytest.mark.parametrize("strip, block", [(64, 8), (64, 16384), (16384, 16384)])
+def test_exact_top_k(spark, strip, block):
     df, rows = table(spark)
-    got = [tuple(r) for r in vectors.exact_top_k(df, strip=strip).collect()]
+    got = [tuple(r) for r in vectors.exact_top_k(df, strip=strip, block=block).collect()]
     assert Counter(got) == Counter(brute(rows, 50, 5, whole, True))
 
 
@@ -73,9 +73,18 @@ def test_kd_tree_bounds():
         assert (inside @ queries.T <= bound[:, node] + 1e-9).all()
 
 
-def test_large_components_are_refused():
-    with pytest.raises(OverflowError):
-        vectors.best_by_trees(np.array([1, 2]), np.full((2, 3), 1 << 40), np.array([0]), np.full((1, 3), 1 << 40), 5)
+@pytest.mark.parametrize("size", [1e5, 1e6, 1e7, 1e13])
+def test_large_components_are_exact(spark, size):
+    """Products beyond 2**53, beyond 2**62, and beyond a long."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.integers(-9, 10, 64) * size + rng.integers(0, 3, 64)).tolist()) for i in range(300)]
+    rows += [(i, rows[3][1]) for i in range(300, 330)]
+    clip = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+    f = lambda v: [clip(int(np.floor(256 * x))) for x in v]
+    want = brute([(i, f(v)) for i, v in rows], 50, 5, lambda v, w: clip(sum(a * b for a, b in zip(v, w))), True)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vectors.exact_top_k(df, strip=64, block=3).collect()]
+    assert Counter(got) == Counter(want)
 
 
 def reading(url):
@@ -112,3 +121,23 @@ def test_reputation_shrinks(spark):
     assert 0 < got["few.one.com"]["rate"] < got["new.one.com"]["rate"] and got["new.two.com"]["rate"] < got["new.one.com"]["rate"]
     assert got["new.one.com"]["n"] == 0 and got["new.one.com"]["lower"] < got["new.one.com"]["rate"]
     assert len(got) == 7
+
+
+def test_registered_domains(spark):
+    want = {
+        "example.com": ("example.com", "com"),
+        "a.b.example.com:8080": ("example.com", "com"),
+        "www.shop.co.uk": ("shop.co.uk", "co.uk"),
+        "shop.co.uk": ("shop.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "uk": ("uk", "uk"),
+        "me@x.gov.br.": ("x.gov.br", "gov.br"),
+        "192.168.0.1": ("192.168.0.1", "(address)"),
+        "10.0.0.1:80": ("10.0.0.1", "(address)"),
+        "[::1]:80": ("[::1]", "(address)"),
+        "co.example": ("co.example", "example"),
+        "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = urls.registered(df["host"])
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", domain, suffix).collect()} == want
