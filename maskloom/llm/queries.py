@@ -3,6 +3,7 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
+from maskloom.llm.urls import ADDRESS, BARE, IS_ADDRESS, IS_TWO
 from maskloom.llm.util import table
 
 
@@ -93,7 +94,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= {k}"""
 
 
-URL_SQL = """
+URL_SQL = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parsed AS (
@@ -106,9 +107,12 @@ WITH cut AS (
              WHERE (host = h OR suffix(host, '.' || h)) AND starts_with(path, p)) AS best FROM parsed
 ), hosts AS (
   SELECT host, count(best) AS n, count(CASE WHEN best.v = 'block' THEN 1 END) AS bad,
-         string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM j GROUP BY host
+         regexp_replace(host, '{BARE}', '', 'g') AS bare FROM j GROUP BY host
+), parts AS (
+  SELECT *, string_split(bare, '.') AS l, regexp_matches(bare, '{IS_ADDRESS}') AS address, CASE WHEN regexp_matches(bare, '{IS_TWO}') THEN 2 ELSE 1 END AS k FROM hosts
 ), hs AS (
-  SELECT host, n, bad, array_to_string(l[greatest(1, len(l) - 1):len(l)], '.') AS domain, l[len(l)] AS suffix FROM hosts
+  SELECT host, n, bad, CASE WHEN address THEN bare ELSE array_to_string(l[greatest(1, len(l) - k):len(l)], '.') END AS domain,
+         CASE WHEN address THEN '{ADDRESS}' ELSE array_to_string(l[greatest(1, len(l) - k + 1):len(l)], '.') END AS suffix FROM parts
 ), ds AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hs GROUP BY 1, 2),
 ss AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, 1 AS al FROM ds GROUP BY 1),
 kids AS (
