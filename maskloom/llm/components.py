@@ -31,6 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     links nor nodes come to the driver, only a count and a checksum a round.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = materialise(links, "links")  # a round reads them several times
     before = None
     while True:
         links = materialise(_stars(_stars(links, True), False), "stars")
