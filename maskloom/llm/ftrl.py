@@ -43,9 +43,15 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
     return known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
 
 
+def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The columns of ``ids`` (doc_id, once each, a bounded number: they are
+    broadcast) and one text an id: of several rows, that of the least hash."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy(*ids.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(rank, y, text) of at most ``most`` labelled ids, those of smallest hash;
-    in one partition, in a fixed order. The ids, so bounded, are broadcast."""
+    """(rank, y, text) of at most ``most`` labelled ids, those of smallest hash, one
+    text each; in one partition, in a fixed order."""
     ids = labelled(labels, column).withColumn("rank", F.xxhash64(F.lit(5), "doc_id")).orderBy("rank", "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    return rows.select("rank", "y", "text").repartition(1).sortWithinPartitions("rank", "text")
+    return one_text(docs, ids).select("rank", "y", "text").repartition(1).sortWithinPartitions("rank", "text")

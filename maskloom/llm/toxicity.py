@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.ftrl import Ftrl, sample, sigmoid
+from maskloom.llm.ftrl import Ftrl, one_text, sample, sigmoid
 from maskloom.llm.quality import parts
 from maskloom.llm.util import held_out, session
 
@@ -37,6 +37,10 @@ LEAST, CLEAR = 3, 0.8
 #: Voters correlated by less are taken as independent.
 EDGE = 0.25
 ROUNDS, EPOCHS, CUT = 20, 8, 0.5
+#: A feature of more than so large a share of texts counts only if the classes' shares differ by as much.
+COMMON = 0.1
+#: The constant where no label was to be had: all scores are under the cut.
+UNTAUGHT = -2.0
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -213,18 +217,23 @@ def _hash(key: str) -> int:
 
 
 def fit(texts: list, ys: list, epochs: int = EPOCHS, **kind) -> np.ndarray:
-    """Weights from texts with label 0, 1 or None; the last is the constant's."""
+    """Weights from texts with label 0, 1 or None; the last is the constant's. With
+    no label at all there is but the constant, UNTAUGHT."""
+    if all(y is None for y in ys):
+        return np.append(np.zeros(SIZE), UNTAUGHT)
     keyed = Keyed(texts)
     kept = one_of_copies(keyed)
     texts, ys, keyed.rows = [texts[i] for i in kept], [ys[i] for i in kept], [keyed.rows[i] for i in kept]
     known = {i: y for i, y in enumerate(ys) if y is not None}
-    soft = label_model(cast(texts, keyed, lexicon(texts, keyed, known)), np.array([np.nan if y is None else y for y in ys], dtype=float)) if known else np.zeros(0)
+    soft = label_model(cast(texts, keyed, lexicon(texts, keyed, known)), np.array([np.nan if y is None else y for y in ys], dtype=float))
     model = Ftrl(SIZE + 1, **({"alpha": 0.5, "l1": 6.0} | kind))
     hashed = lambda ids: (ids >> np.uint32(1)).astype(np.int64) % SIZE
-    df = np.zeros(SIZE)
-    for ids, _ in keyed.rows:
-        df[np.unique(hashed(ids))] += 1
-    scale = rarity(df, len(texts))
+    df, toxic = np.zeros(SIZE), np.zeros(SIZE)
+    for (ids, _), y in zip(keyed.rows, soft):
+        at = np.unique(hashed(ids))
+        df[at] += 1
+        toxic[at] += y
+    scale = rarity(df, toxic, len(texts), soft.sum())
     rows = []
     for ids, times in keyed.rows:
         at, back = np.unique(hashed(ids), return_inverse=True)
@@ -236,12 +245,14 @@ def fit(texts: list, ys: list, epochs: int = EPOCHS, **kind) -> np.ndarray:
     return model.weights() * np.append(scale, 1.0)
 
 
-def rarity(df: np.ndarray, n: int) -> np.ndarray:
-    """A feature's scale by the texts it occurs in: log(n / df) / log(n); 0 for
-    those in fewer than LEAST texts, or in more than a tenth of many."""
+def rarity(df: np.ndarray, toxic: np.ndarray, n: int, n_toxic: float) -> np.ndarray:
+    """A feature's scale by the texts it occurs in, ``df`` of ``n``: log(n / df) /
+    log(n); 0 for those in fewer than LEAST texts, and for COMMON ones that are of
+    about the same share of either class (``toxic`` of ``n_toxic``, by posterior)."""
     with np.errstate(divide="ignore"):
         scale = np.log(max(2, n) / np.maximum(df, 1)) / np.log(max(2, n))
-    return np.where((df >= LEAST) & (df <= max(100, n / 10)), np.maximum(scale, 0), 0.0)
+    apart = np.abs(toxic / max(n_toxic, 1e-9) - (df - toxic) / max(n - n_toxic, 1e-9))
+    return np.where((df >= LEAST) & ((df <= COMMON * n) | (apart >= COMMON)), np.maximum(scale, 0), 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = SAMPLE) -> np.ndarray:
@@ -252,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out() & F.col("doc_id").isNotNull())
     ids = ids.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").distinct()
     ids = ids.withColumn("rank", F.xxhash64(F.lit(6), "doc_id")).orderBy("rank", "doc_id").limit(most // 2)
-    other = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    other = one_text(docs, ids)
     rows = known.withColumn("rank", F.xxhash64("text")).unionByName(other.select(F.lit(None).cast("double").alias("y"), "text", "rank"))
     rows = rows.repartition(1).sortWithinPartitions("rank", "text", "y")
 
@@ -262,11 +273,12 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
             ys += batch.column(0).to_pylist()
             texts += batch.column(1).to_pylist()
         w = fit(texts, ys)
-        at = np.flatnonzero(w)
+        at = np.union1d(np.flatnonzero(w), [SIZE])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
 
     got = rows.mapInArrow(learn, "at long, w double").toPandas()
     weights = np.zeros(SIZE + 1, np.float32)
+    weights[SIZE] = UNTAUGHT  # where nothing came to be learnt from
     weights[got["at"]] = got["w"]
     return weights
 
@@ -334,7 +346,8 @@ class Scorer:
 
 def score(docs: DataFrame, weights: np.ndarray, cut: float = CUT) -> DataFrame:
     """Per row of ``docs`` all its columns, then held_out, score, predicted. Null
-    and empty texts have the constant's score; null and repeated ids stay."""
+    and empty texts have the constant's score; null and repeated ids stay. Without
+    any label to learn from all scores are alike and under the cut."""
     from pyspark.sql import types as T
 
     spark = session(docs)
@@ -360,7 +373,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, **kind) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, **kind) -> DataFrame:
-    """``docs`` without the rows scored ``cut`` or more; all columns stay."""
+    """``docs`` without the rows scored ``cut`` or more; all columns stay. Null and
+    empty texts have the constant's score, repeats of a row the same; where no row
+    has a label to learn from, all rows stay."""
     from maskloom.llm.util import fresh
 
     renamed = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in ("score", "held_out", "predicted")}
