@@ -16,7 +16,7 @@ from maskloom.functions import detect, keying, parse, routes
 from maskloom.functions.bytesview import find_spans, unview, view
 from maskloom.operators import benchmark, hooks, mask, overlap, vault
 from maskloom.plans.policy import Policy
-from maskloom.schema import ENTITY_TYPES, FINDING
+from maskloom.schema import ENTITY_TYPES, FINDING, ORDER, TAGS
 from maskloom.sources import artefacts, audit
 
 QUERIES: dict = {}
@@ -83,14 +83,15 @@ def ip_containment(spark, sf_dir):
 
 
 @query(
-    "SELECT c_custkey, unnest(regexp_extract_all('pay GB29 NWBK 6016 1331 ' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || ' 19 or gb29nwbk' || "
-    f"lpad(CAST(c_custkey AS VARCHAR), 14, '0') || ' now', '{detect.IBAN}')) AS value FROM customer WHERE c_custkey < 10000"
+    "SELECT c_custkey, unnest(regexp_extract_all('pay GB29 NWBK 6016 1331 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || ' 19 or gb29nwbk' || "
+    f"lpad(CAST(c_custkey AS VARCHAR), 14, '0') || ' now', '{detect.IBAN}')) AS value FROM customer"
 )
 def detect_iban(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
-    text = F.concat(F.lit("pay GB29 NWBK 6016 1331 "), F.lpad(key, 4, "0"), F.lit(" 19 or gb29nwbk"), F.lpad(key, 14, "0"), F.lit(" now"))
+    four = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    text = F.concat(F.lit("pay GB29 NWBK 6016 1331 "), four, F.lit(" 19 or gb29nwbk"), F.lpad(key, 14, "0"), F.lit(" now"))
     only = lambda b: F.filter(detect.iban_sortcode(b), lambda f: f["entity_type"] == "Iban")
-    return _values(table(spark, sf_dir, "customer").where("c_custkey < 10000"), "c_custkey", text, only)
+    return _values(table(spark, sf_dir, "customer"), "c_custkey", text, only)
 
 
 @query(
@@ -224,7 +225,78 @@ def finding_counts_by_source(spark, sf_dir):
     return _counted(spark, sf_dir, "source")
 
 
-@query()
+# --- all detectors as SQL --------------------------------------------------------
+
+
+def _found(entity: str, order: int, detector: str, pattern: str, sure: str) -> str:
+    """Spans in characters, s from 0. All patterns match ASCII only, so a span is as
+    long in bytes; a place in bytes is the size of what lies before it."""
+    return f"""
+SELECT id, text, '{entity}' AS entity_type, {order} AS type_ord, '{detector}' AS detector, {sure} AS sure, found[n] AS value,
+       CAST(list_sum(list_transform(gaps[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:n - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+FROM (SELECT id, text, found, gaps, unnest(range(1, len(found) + 1)) AS n
+      FROM (SELECT id, text, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS gaps FROM src))"""
+
+
+_WEIGHED = "list_sum(list_transform(range(1, {n} + 1), lambda i: CAST(d[i] AS BIGINT) * {w}))"
+
+
+def _analysed(source: str) -> str:
+    """CTEs over ``source`` (id, text): f, all findings; r, by rank; m, what is left
+    of each where they overlap; as ``mask.analyse`` has them."""
+    near = "substr(text, greatest(1, s - 15), least(s, 16))"
+    marker = lambda words: f"(regexp_matches({near}, '(?i)(^|[^0-9A-Za-z_])({words})([^0-9A-Za-z_]|$)'))"
+    bits = _BITS.format(t="value")
+    return f"""src AS ({source}),
+e AS ({_found("Email", ORDER["Email"], "email", _EMAIL, "0.9")}),
+p0 AS ({_found("Phone", ORDER["Phone"], "phone", detect.PHONE, "0.7")}),
+p1 AS (SELECT *, regexp_replace(regexp_extract(substr(text, greatest(1, s - 23), least(s, 24)), '[0-9-]*$') || value || regexp_extract(substr(text, s + length(value) + 1, 24), '^[0-9-]*'), '[^0-9]', '', 'g') AS d
+       FROM p0 WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 AND regexp_matches(value, '[-+(). ]') AND NOT regexp_matches(value, '{detect.ISO_DATE}')),
+p AS (SELECT * EXCLUDE d FROM p1 WHERE NOT (regexp_matches(value, '^[0-9]{{5}}-[0-9]{{4}}$') AND {marker("zip|postal")})
+      AND NOT CASE WHEN regexp_matches(d, '^97[89][0-9]{{10}}$') THEN {_WEIGHED.format(n=13, w="CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END")} % 10 = 0 ELSE false END
+      AND NOT CASE WHEN regexp_matches(d, '^[0-9]{{10}}$') THEN {_WEIGHED.format(n=10, w="(11 - i)")} % 11 = 0 AND {marker("isbn")} ELSE false END),
+v4 AS ({_found("InternalIp", ORDER["InternalIp"], "ip", detect.IPV4, "0.85")}),
+v6 AS ({_found("InternalIp", ORDER["InternalIp"], "ip", detect.IPV6, "0.85")}),
+ib AS ({_found("Iban", ORDER["Iban"], "iban-sortcode", detect.IBAN, "0.75")}),
+sc AS ({_found("SortCode", ORDER["SortCode"], "iban-sortcode", detect.SORT_CODE, "0.75")}),
+t AS ({_found("Secret", ORDER["Secret"], "entropy", _TOKEN, "0.0")}),
+h AS (SELECT * EXCLUDE bits REPLACE (least(0.95, greatest(0.5, 0.5 + (bits - 3.5) / 2.0 * 0.45)) AS sure) FROM (SELECT *, {bits} AS bits FROM t) WHERE bits >= 3.5 AND NOT {_structured("value")}
+      AND NOT (regexp_matches(value, '^[0-9a-f]{{7,64}}$') AND lower(regexp_extract(substr(text, greatest(1, s - 255), least(s, 256)), '([0-9A-Za-z]*)[ \\t:]*$', 1)) IN ('commit', 'sha1', 'sha256', 'sha', 'rev'))),
+f AS (SELECT *, s + length(value) AS e, strlen(substr(text, 1, s)) - s AS extra FROM (
+      SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM v6 UNION ALL SELECT * FROM ib UNION ALL SELECT * FROM sc UNION ALL SELECT * FROM h
+      UNION ALL SELECT * FROM v4 WHERE NOT EXISTS (SELECT 1 FROM v6 WHERE v6.id = v4.id AND v6.s <= v4.s AND v4.s + length(v4.value) <= v6.s + length(v6.value)))),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY entity_type = 'Secret', s - e, s, type_ord, detector) AS rank FROM f),
+pt AS (SELECT DISTINCT id, unnest([s, e]) AS edge FROM r),
+c AS (SELECT id, edge AS a, lead(edge) OVER (PARTITION BY id ORDER BY edge) AS b FROM pt),
+o AS (SELECT c.id, a, b, min(rank) AS rank FROM c JOIN r ON c.id = r.id AND s <= a AND b <= e GROUP BY 1, 2, 3),
+g AS (SELECT *, a - sum(b - a) OVER (PARTITION BY id, rank ORDER BY a) + (b - a) AS run FROM o),
+k AS (SELECT id, rank, run, min(a) AS st, max(b) AS en FROM g GROUP BY 1, 2, 3),
+m AS (SELECT k.id, r.entity_type, r.detector, r.sure, k.st, k.en, r.extra, substr(r.value, k.st - r.s + 1, k.en - k.st) AS value,
+             CASE WHEN r.entity_type = 'Secret' THEN 'irreversible-redact' ELSE 'mask' END AS class FROM k JOIN r ON k.id = r.id AND k.rank = r.rank)"""
+
+
+_DOCS = "SELECT doc_id AS id, coalesce(text, '') AS text FROM documents"
+_TAG = "CASE entity_type " + " ".join(f"WHEN '{n}' THEN '{t}'" for n, t in TAGS.items()) + " END"
+_TYPES = """coalesce((SELECT '{{' || string_agg('"' || entity_type || '":' || n, ',' ORDER BY entity_type) || '}}' FROM (SELECT entity_type, count(*) AS n FROM {of} x WHERE x.id = src.id GROUP BY 1)), '{{}}')"""
+
+
+def _spliced(put: str) -> str:
+    """Each text of src with the fragments of m put as the SQL ``put``."""
+    gap = "substr(src.text, coalesce(lag(en) OVER (PARTITION BY m.id ORDER BY st), 0) + 1, st - coalesce(lag(en) OVER (PARTITION BY m.id ORDER BY st), 0))"
+    return f"""(SELECT src.id, CASE WHEN count(q.st) = 0 THEN any_value(src.text) ELSE string_agg(q.piece, '' ORDER BY q.st) || substr(any_value(src.text), CAST(max(q.en) AS BIGINT) + 1) END AS text
+  FROM src LEFT JOIN (SELECT m.id, st, en, {gap} || {put} AS piece FROM m JOIN src ON m.id = src.id) q ON q.id = src.id GROUP BY src.id)"""
+
+
+#: Displays of values by canonical key, numbered within a tag by first place.
+_SHOWN = f"""keyed AS (SELECT *, CASE WHEN entity_type IN ('Iban', 'SortCode') THEN lower(regexp_replace(value, '[ -]', '', 'g')) WHEN entity_type = 'Phone' THEN regexp_replace(value, '[ .()-]', '', 'g')
+  ELSE lower(value) END AS key, {_TAG} AS tag FROM m WHERE class = 'mask'),
+firsts AS (SELECT tag, key, min(struct_pack(id := id, st := st)) AS place FROM keyed GROUP BY 1, 2),
+shown AS (SELECT tag, key, tag || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS display FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY place) AS n FROM firsts))"""
+
+
+@query(
+    f"""WITH {_analysed(_DOCS)} SELECT detector, entity_type, count(*) AS n, round(avg(e - s), 3) AS mean, CAST(max(e - s) AS INTEGER) AS longest FROM f GROUP BY 1, 2"""
+)
 def census(spark, sf_dir):
     """All detectors: findings, mean and longest span, by detector and type."""
     rows = docs(spark, sf_dir).select(F.explode(detect.scan(view(F.col("content")))).alias("f")).select("f.*")
@@ -232,7 +304,7 @@ def census(spark, sf_dir):
     return rows.groupBy("detector", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(size), 3).alias("mean"), F.max(size).alias("longest"))
 
 
-@query()
+@query(f"WITH {_analysed(_DOCS)} SELECT src.id AS artefact_id, CAST(count(f.id) AS INTEGER) AS n FROM src LEFT JOIN f ON f.id = src.id GROUP BY 1 ORDER BY n DESC, artefact_id LIMIT 15")
 def census_top(spark, sf_dir):
     """The 15 documents with most findings."""
     rows = docs(spark, sf_dir).select("artefact_id", F.size(detect.scan(view(F.col("content")))).alias("n"))
@@ -240,10 +312,10 @@ def census_top(spark, sf_dir):
 
 
 _SPANS = """
-SELECT CAST(user_id % 40 AS BIGINT) AS artefact_id, CAST(event_id % 97 AS INTEGER) AS s, CAST(event_id % 97 + 3 + (event_id * 7) % 13 AS INTEGER) AS e,
+SELECT CAST(event_id // 25 AS BIGINT) AS artefact_id, CAST(event_id % 97 AS INTEGER) AS s, CAST(event_id % 97 + 3 + (event_id * 7) % 13 AS INTEGER) AS e,
        CASE CAST(event_id % 4 AS INTEGER) WHEN 0 THEN 'Secret' WHEN 1 THEN 'Email' WHEN 2 THEN 'Phone' ELSE 'Iban' END AS entity_type,
        CASE CAST(event_id % 4 AS INTEGER) WHEN 0 THEN 16 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 8 END AS type_ord
-FROM events WHERE event_id % 25 = 0"""
+FROM events"""
 _RESOLVED = f"""
 WITH f AS (SELECT DISTINCT * FROM ({_SPANS})),
 r AS (SELECT *, row_number() OVER (PARTITION BY artefact_id ORDER BY entity_type = 'Secret', s - e, s, type_ord) AS rank FROM f),
@@ -256,12 +328,13 @@ SELECT m.artefact_id, r.entity_type, m.st AS start, m.en AS "end" FROM m JOIN r
 
 
 def _span_rows(spark, sf_dir) -> DataFrame:
+    """A span an event, 25 events an artefact: both grow with the table."""
     e = F.col("event_id")
     kind = e % 4
     pick = lambda *xs: F.when(kind == 0, xs[0]).when(kind == 1, xs[1]).when(kind == 2, xs[2]).otherwise(xs[3])
     start = (e % 97).cast("int")
-    rows = table(spark, sf_dir, "events").where(e % 25 == 0).select(
-        (F.col("user_id") % 40).cast("long").alias("artefact_id"),
+    rows = table(spark, sf_dir, "events").select(
+        F.floor(e / 25).cast("long").alias("artefact_id"),
         pick("Secret", "Email", "Phone", "Iban").alias("entity_type"),
         pick(16, 1, 2, 8).alias("type_ord"),
         start.alias("start"),
@@ -434,16 +507,22 @@ def redact_emails(spark, sf_dir):
     return rows.select("artefact_id", unview(put).alias("text"))
 
 
-@query()
+@query(
+    f"""WITH {_analysed(_DOCS)}
+SELECT src.id AS artefact_id, z.text, false AS blocked, {_TYPES.format(of="m")} AS counts FROM src JOIN {_spliced(f"'[REDACTED:' || {_TAG} || ']'")} z ON z.id = src.id"""
+)
 def redact_only(spark, sf_dir):
     """All detectors under the default policy, no vault."""
     rows = mask.redact(docs(spark, sf_dir))
     return rows.select("artefact_id", "text", "blocked", F.to_json("counts").alias("counts"))
 
 
-@query()
+@query(
+    f"""WITH {_analysed(_DOCS)}
+SELECT id AS artefact_id, entity_type, CAST(st + extra AS INTEGER) AS start, CAST(en + extra AS INTEGER) AS "end", round(CAST(sure AS DOUBLE), 3) AS confidence, detector, class FROM m"""
+)
 def inspect(spark, sf_dir):
-    return mask.inspect(docs(spark, sf_dir))
+    return mask.inspect(docs(spark, sf_dir)).withColumn("confidence", F.round(F.col("confidence").cast("double"), 3))
 
 
 def _vault(spark) -> vault.Vault:
@@ -454,7 +533,14 @@ def _vault(spark) -> vault.Vault:
 _ALL = {"entities": {"default": "mask", "overrides": {"secret": "pass"}}, "destinations": {"local-patch": {"demask_allowed": True}}}
 
 
-@query()
+@query(
+    f"""WITH {_analysed(_DOCS)}, {_SHOWN},
+put AS (SELECT m.*, CASE WHEN m.class = 'mask' THEN display ELSE '[REDACTED:' || {_TAG.replace("entity_type", "m.entity_type")} || ']' END AS display
+  FROM m LEFT JOIN (SELECT keyed.id, keyed.st, display FROM keyed JOIN shown USING (tag, key)) d ON d.id = m.id AND d.st = m.st),
+spliced AS (SELECT * FROM {_spliced("display").replace("FROM m JOIN", "FROM put m JOIN")})
+SELECT src.id AS artefact_id, z.text, {_TYPES.format(of="m")} AS counts, {_TYPES.format(of="f")} AS raw_counts,
+       CAST((SELECT count(DISTINCT display) FROM put x WHERE x.id = src.id AND x.class = 'mask') AS INTEGER) AS bindings FROM src JOIN spliced z ON z.id = src.id"""
+)
 def mask_documents(spark, sf_dir):
     packs = mask.mask(docs(spark, sf_dir), _vault(spark), "repo", "documents", now=1)
     return packs.select("artefact_id", "text", F.to_json("counts").alias("counts"), F.to_json("raw_counts").alias("raw_counts"), F.size("bindings").alias("bindings"))
@@ -520,7 +606,7 @@ def vault_high_water(spark, sf_dir):
     return vault.high_water(rows)
 
 
-@query()
+@query(f"WITH {_analysed(_DOCS)}, {_SHOWN} SELECT (SELECT count(*) FROM shown) AS mappings, (SELECT count(*) FROM (SELECT DISTINCT id, tag, key FROM keyed)) AS attempts")
 def vault_stats(spark, sf_dir):
     """Mappings and logged attempts after a mask and a restore."""
     policy, held = Policy.of(_ALL), _vault(spark)
@@ -605,11 +691,11 @@ def recall_split(spark, sf_dir):
 @query(
     f"""{_BENCH}
 SELECT 'x' AS detector, count(*) AS total, count(CASE WHEN NOT EXISTS (SELECT 1 FROM l b WHERE {_MATCH}) THEN 1 END) AS false_positives,
-       count(CASE WHEN sample < 10 AND NOT EXISTS (SELECT 1 FROM l b WHERE {_MATCH}) THEN 1 END) AS benign_false_positives FROM f a"""
+       count(CASE WHEN sample % 4 = 1 AND NOT EXISTS (SELECT 1 FROM l b WHERE {_MATCH}) THEN 1 END) AS benign_false_positives FROM f a"""
 )
 def detector_false_positives(spark, sf_dir):
     f, labels = _bench(spark, sf_dir)
-    return benchmark.detector_false_positives(f, labels, f.where("sample < 10").select("sample").distinct())
+    return benchmark.detector_false_positives(f, labels, f.where("sample % 4 = 1").select("sample").distinct())
 
 
 @query("SELECT quantile_disc(value, 0.95) AS p FROM events")
@@ -617,15 +703,21 @@ def p95_nearest_rank(spark, sf_dir):
     return benchmark.nearest_rank(table(spark, sf_dir, "events"), "value")
 
 
-@query("SELECT doc_id, 'Email' AS entity_type FROM documents WHERE len(regexp_extract_all(text, '" + _EMAIL + "')) > 0 AND doc_id % 2 = 0")
+@query(
+    f"""
+WITH v AS (SELECT DISTINCT doc_id, lang, text, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value FROM documents)
+SELECT DISTINCT doc_id, 'Email' AS entity_type FROM v WHERE contains(CASE WHEN lang = 'en' THEN regexp_replace(text, '{_EMAIL}', '[REDACTED:EMAIL]', 'g') ELSE text END, value)"""
+)
 def zero_raw_values(spark, sf_dir):
-    """Values that a text still holds: here of the even documents, left as they were."""
+    """Values that a text still holds: here after a mask that passed over all languages but one."""
     rows = docs(spark, sf_dir)
     found = rows.select(F.col("artefact_id").alias("sample"), F.explode(detect.email(view(F.col("content")))).alias("f"))
     labels = found.select("sample", "f.entity_type", unview(F.col("f.value")).alias("value"))
-    text = F.when(F.col("artefact_id") % 2 == 0, F.col("content")).otherwise("")
-    left = benchmark.raw_left(rows.select(F.col("artefact_id").alias("sample"), text.alias("text")), labels)
-    return left.distinct().withColumnRenamed("sample", "doc_id")
+    policy = Policy.of({"entities": {"default": "irreversible-redact"}})
+    seen = mask.analyse(rows.withColumn("content", F.when(F.col("lang") == "en", F.col("content")).otherwise("")), policy, {"email": detect.email})
+    masked = seen.select("artefact_id", unview(mask.splice(F.col("bytes"), F.col("findings"), lambda f: keying.redaction_marker(f["entity_type"]))).alias("masked"))
+    packs = rows.join(masked, "artefact_id").select(F.col("artefact_id").alias("sample"), F.when(F.col("lang") == "en", F.col("masked")).otherwise(F.col("content")).alias("text"))
+    return benchmark.raw_left(packs, labels).distinct().withColumnRenamed("sample", "doc_id")
 
 
 @query("SELECT p_partkey, n AS start, n + length(w) AS \"end\" FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w, p_name || ' é ' || split_part(p_name, ' ', 1) AS t, "
@@ -761,7 +853,16 @@ def hook_subjects(spark, sf_dir):
     return hooks.subjects(_events(spark, sf_dir)).select("event_id", "subject", "drift")
 
 
-@query()
+_PROMPTS = f"SELECT {_N} AS id, text FROM conversations WHERE {_N} % 5 > 1 AND text <> ''"
+
+
+@query(
+    f"""WITH {_analysed(_PROMPTS)}, z AS (SELECT * FROM {_spliced(f"'[REDACTED:' || {_TAG} || ']'")}),
+d AS (SELECT {_N} AS event_id, z.text AS masked, CASE WHEN {_N} % 5 <= 1 OR c.text IS NULL THEN 'block' WHEN c.text = '' OR z.text = c.text THEN 'pass' ELSE 'transform' END AS decision
+      FROM conversations c LEFT JOIN z ON z.id = {_N})
+SELECT event_id, 'UserPromptSubmit' AS event, decision, CASE WHEN decision = 'block' THEN 2 ELSE 0 END AS exit_code,
+       CASE WHEN decision = 'transform' THEN CAST(json_object('decision', 'block', 'reason', '{hooks.RESUBMIT}' || masked) AS VARCHAR) END AS output FROM d"""
+)
 def hook_answers(spark, sf_dir):
     ship(spark)
     found = hooks.subjects(_events(spark, sf_dir))
@@ -810,12 +911,12 @@ def placeholder_consistency(spark, sf_dir):
     return benchmark.placeholder_consistency(labels, _vault(spark))
 
 
-@query("SELECT 'p' || p_partkey AS sample, p_partkey % 2 = 0 AS decoy_minted, p_partkey % 2 = 0 AS corrupted FROM part WHERE p_partkey <= 20")
+@query("SELECT 'p' || p_partkey AS sample, p_partkey % 2 = 0 AS decoy_minted, p_partkey % 2 = 0 AS corrupted FROM part")
 def display_collisions(spark, sf_dir):
     """Texts that hold a look-alike: those equal to a placeholder made are restored wrongly."""
     k = F.col("p_partkey")
     decoy = F.when(k % 2 == 0, "EMAIL_001").otherwise("EMAIL_900")
-    rows = table(spark, sf_dir, "part").where(k <= 20).select(
+    rows = table(spark, sf_dir, "part").select(
         F.concat(F.lit("p"), k).alias("name"), F.concat(F.lit("ask a@x.org or "), decoy).alias("content"), F.array(decoy).alias("decoys")
     )
     return benchmark.display_collisions(rows, _vault(spark))
