@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,9 +28,37 @@ def ship(spark) -> None:
 
 def shared_dir(spark) -> str:
     """The folder all executors share (``spark.checkpoint.dir``). A temporary
-    one is set only where the session names none, as in local tests."""
+    one is set only where the session names none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="maskloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def own_dir(spark) -> str:
+    """This application's part of the shared folder; see ``clear``."""
+    return f"{shared_dir(spark)}/maskloom/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark, name: str) -> str:
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """``df``, written to the shared folder and read back: cuts lineage so that a
+    lost executor repeats one step at most, and no step runs twice. It holds what
+    ``df`` holds, so the folder is to be as private as the tables are."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark) -> None:
+    """Remove all that this application has written to the shared folder. Tables
+    that were read from there cannot be read any more."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

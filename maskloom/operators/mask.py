@@ -12,6 +12,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskloom import written
 from maskloom.functions import detect
 from maskloom.functions.bytesview import unview, view
 from maskloom.functions.keying import display, redaction_marker
@@ -119,9 +120,9 @@ def mask(
     then position. The vault commits before any pack is to be had."""
     policy = policy or Policy.default()
     now = int(time.time()) if now is None else now
-    rows = analyse(artefacts, policy)
     # read by the commit and by the packs: without it texts would be searched each time
-    values = values_of(rows, ns_kind, ns_id, order).persist()
+    rows = written(analyse(artefacts, policy), "analysed")
+    values = values_of(rows, ns_kind, ns_id, order)
     mapping = vault.intern(values, now, ttl)
     keyed = with_keys(values, vault.salt).join(mapping.select("key_hex", "mapping_ref", "display"), "key_hex")
     used = keyed.groupBy("artefact_id").agg(F.array_sort(F.collect_list(F.struct("start", "display", "mapping_ref"))).alias("used"))

@@ -3,18 +3,22 @@
 A vault is a folder: ``mapping`` holds Parquet folders, ``versions`` a file for
 each commit that names the folders in force, and ``demask_event`` is appended to.
 A commit adds a folder of new rows; only renewals, purges and every COMPACT-th
-commit write the mapping anew. The file of a version can be created once: whoever
-comes second starts again. Values are encrypted with AES-GCM under a key the caller holds.
+commit write the mapping anew. The file of a version is written aside and renamed,
+which can be done once: whoever comes second starts again, and no reader meets half
+a file. Values are encrypted with AES-GCM under a key the caller holds; so is the
+salt, which the vault makes and keeps: a key that does not open it is refused.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from maskloom import written
 from maskloom.functions.keying import display, display_tag, placeholder_key
 from maskloom.schema import CUSTOM
 
@@ -33,16 +37,13 @@ class VaultError(RuntimeError):
     """Another writer committed first, or the key is not this vault's."""
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], cuts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``df`` with the column number: 1, 2, .. within ``by`` along ``order``.
 
-    Rows are dealt out by ranges of the first order column too, counted, and
+    A sort over all of ``order`` deals rows out by ranges of about one size, however
+    many of them a group or a first column's value has; these are counted, and
     numbered from where the ranges before end: no group meets in one task."""
-    first = order[0]
-    edges = df.agg(F.percentile_approx(first, [i / cuts for i in range(1, cuts)], 1000).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    place = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<long>"), lambda e: e < F.col(first))) if edges else F.lit(0)
-    placed = df.withColumn("range", place)
+    placed = written(df.orderBy(*order).withColumn("range", F.spark_partition_id()), "numbered")
     counts = placed.groupBy(*by, "range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*by, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -120,27 +121,95 @@ def high_water(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("ns_kind", "ns_id", tag.alias("tag")).agg(F.max("ordinal").alias("ordinal"))
 
 
+def repeated(mapping: DataFrame) -> DataFrame:
+    """what (key, ref or ordinal) and value of those that more than one row of
+    ``mapping`` has; each may be had once: keys and refs in a vault, ordinals in a
+    namespace's tag."""
+    tag = F.regexp_replace("display", "_[0-9]+$", "")
+    each = lambda what, *of: F.struct(F.lit(what).alias("what"), F.to_json(F.array(*of)).alias("value"))
+    rows = mapping.select(F.explode(F.array(each("key", F.col("key_hex")), each("ref", F.col("mapping_ref")), each("ordinal", F.col("ns_kind"), F.col("ns_id"), tag, F.col("ordinal").cast("string")))).alias("x"))
+    return rows.groupBy("x.what", "x.value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 @dataclass
 class Vault:
-    """A vault in a folder that Spark and the driver can reach."""
+    """A vault in a folder that Spark and the driver can reach. It is made when it
+    is first opened; ``salt``: for a new one (else 32 random bytes); an old one's
+    must be the same where it is given."""
 
     spark: SparkSession
     path: str
     key: bytes
-    salt: bytes
+    salt: bytes | None = None
+
+    def __post_init__(self):
+        kept = self._read("meta/salt")
+        if kept is None:
+            made = self.salt or os.urandom(32)
+            if not self._put("meta/salt", self._crypt(made, None)):  # another was first
+                kept = self._read("meta/salt")
+        if kept is not None:
+            try:
+                made = self._crypt(kept[12:], kept[:12])
+            except Exception as why:
+                raise VaultError("the key is not this vault's") from why
+        if self.salt is not None and self.salt != made:
+            raise VaultError("the salt is not this vault's")
+        self.salt = made
+
+    def _crypt(self, data: bytes, iv: bytes | None) -> bytes:
+        """AES-GCM on the driver: ``data`` under a new iv, which comes first, or what
+        it stands for under ``iv``."""
+        crypto = self.spark._jvm.javax.crypto
+        mode, iv, head = (1, os.urandom(12), True) if iv is None else (2, iv, False)
+        cipher = crypto.Cipher.getInstance("AES/GCM/NoPadding")
+        cipher.init(mode, crypto.spec.SecretKeySpec(bytearray(self.key), "AES"), crypto.spec.GCMParameterSpec(128, bytearray(iv)))
+        out = bytes(cipher.doFinal(bytearray(data)))
+        return iv + out if head else out
 
     def _fs(self):
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _read(self, name: str) -> bytes | None:
+        jvm, fs = self._fs()
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
+    def _put(self, name: str, data: bytes) -> bool:
+        """Write a small file that is there whole or not at all; False if another is."""
+        jvm, fs = self._fs()
+        hadoop = jvm.org.apache.hadoop.fs
+        aside, at = hadoop.Path(f"{self.path}/aside/{uuid.uuid4().hex}"), hadoop.Path(f"{self.path}/{name}")
+        fs.mkdirs(at.getParent())
+        stream = fs.create(aside, False)
+        stream.write(bytearray(data))
+        stream.close()
+        try:
+            never = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+            hadoop.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, at, never)
+            return True
+        except Exception:
+            if not fs.exists(at):
+                raise
+            return False
+        finally:
+            fs.delete(aside, False)
+
     def version(self) -> int:
         """The highest committed version; 0 before the first."""
         jvm, fs = self._fs()
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
         if not fs.exists(at):
             return 0
-        return max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=0)
+        return max((int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()), default=0)
 
     def mapping(self) -> DataFrame:
         folders = self._folders(self.version())
@@ -151,27 +220,24 @@ class Vault:
     def _folders(self, version: int) -> list[str]:
         if not version:
             return []
-        jvm, fs = self._fs()
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{version}"))
-        try:
-            return stream.readUTF().split(",")
-        finally:
-            stream.close()
+        return self._read(f"versions/{version}").decode().split(",")
 
     def commit(self, rows: DataFrame, base: int, beside: list[str] | None = None) -> None:
         """Make ``rows``, with the folders ``beside``, the mapping, if ``base`` is
         still the last version."""
         folder = uuid.uuid4().hex
-        rows.select(*[f.split()[0] for f in MAPPING.split(", ")]).write.parquet(f"{self.path}/mapping/{folder}")
-        jvm, fs = self._fs()
-        if self.version() != base:
+        at = f"{self.path}/mapping/{folder}"
+        rows.select(*[f.split()[0] for f in MAPPING.split(", ")]).write.parquet(at)
+        if not repeated(self.spark.read.schema(MAPPING).parquet(at)).isEmpty():
+            raise ValueError("a key, reference or ordinal would be in the vault twice")
+        if self.version() != base or not self._put(f"versions/{base + 1}", ",".join([*(beside or []), folder]).encode()):
             raise VaultError("another writer committed first")
-        try:
-            stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{base + 1}"), False)
-        except Exception as why:
-            raise VaultError("another writer committed first") from why
-        stream.writeUTF(",".join([*(beside or []), folder]))
-        stream.close()
+
+    def check(self) -> None:
+        """Refuse a mapping that holds a key, a reference or an ordinal twice."""
+        found = repeated(self.mapping()).first()
+        if found:
+            raise VaultError(f"the vault holds a {found['what']} twice")
 
     def intern(self, values: DataFrame, now: int, ttl: int | None = None, tries: int = 3) -> DataFrame:
         """Every key of ``values`` gets, keeps or renews its row; the mapping after."""
