@@ -40,10 +40,17 @@ DEFAULT = {
 }
 
 
-def read_layer(path: str) -> dict:
+def accept(path: str, data: bytes) -> None:
+    """The check of a layer's signature before its bytes are trusted: none so far.
+    Another such function raises PolicyError for what it does not accept."""
+
+
+def read_layer(path: str, verify=accept) -> dict:
     try:
-        with open(path, encoding="utf-8") as f:
-            layer = json.load(f)
+        with open(path, "rb") as f:
+            data = f.read()
+        verify(path, data)
+        layer = json.loads(data.decode("utf-8"))
     except (OSError, ValueError) as why:
         raise PolicyError(f"cannot read policy layer {path}: {why}") from why
     if not isinstance(layer, dict):
@@ -115,8 +122,9 @@ class Policy:
         )
 
     @staticmethod
-    def load(*paths: str) -> "Policy":
-        return Policy.of(*map(read_layer, paths))
+    def load(*paths: str, verify=accept) -> "Policy":
+        """Of layer files, each verified before it is read."""
+        return Policy.of(*(read_layer(p, verify) for p in paths))
 
     @staticmethod
     def default() -> "Policy":

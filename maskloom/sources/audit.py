@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.detect import PROVENANCE
@@ -47,19 +47,48 @@ def write(events: DataFrame, path: str) -> None:
     events.select(F.to_json(F.struct("schema_version", "id", "event")).alias("value")).write.mode("append").text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All events, checked: a line that is no event, of another version or kind,
-    or an id that comes twice is refused when the rows are read."""
-    rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", RECORD).alias("r"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, place (of lines that are not blank): of all files under ``path``, a
+    file's last line only where it was ended. One that was not is a write broken
+    off, whatever it holds: it was never part of the log."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n")
+    place = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"))
+    rows = rows.select("value", place.alias("place"), F.col("_metadata.file_size").alias("size"))
+    # one row a file: what its lines take with an end each is a byte more than it has
+    files = rows.groupBy(F.col("place.file").alias("file"), F.col("size").alias("of")).agg(F.sum(F.octet_length("value") + 1).alias("taken"), F.max("place").alias("torn"))
+    torn = files.where("taken = of + 1").select("torn")
+    return rows.join(torn, rows["place"] == torn["torn"], "left_anti").where(F.trim("value") != "").select("value", "place")
+
+
+def _checked(lines: DataFrame) -> DataFrame:
+    rows = lines.select(F.from_json("value", RECORD).alias("r"))
     bad = F.coalesce(~(F.col("r.schema_version") == VERSION) | F.col("r.id").isNull() | ~F.col("r.event.kind").isin(*KINDS), F.lit(True))
-    rows = rows.select(F.when(bad, F.raise_error(F.lit("the audit log holds a line that is no event")).cast(f"struct<schema_version:int,id:string,event:{EVENT}>")).otherwise(F.col("r")).alias("r"))
+    return rows.select(F.when(bad, F.raise_error(F.lit("the audit log holds a line that is no event")).cast(f"struct<schema_version:int,id:string,event:{EVENT}>")).otherwise(F.col("r")).alias("r"))
+
+
+def _once(rows: DataFrame) -> DataFrame:
     times = rows.groupBy("r.id").agg(F.count(F.lit(1)).alias("n"), F.first("r").alias("r"))
     once = F.when(F.col("n") > 1, F.raise_error(F.lit("the audit log holds an id twice")).cast(f"struct<schema_version:int,id:string,event:{EVENT}>")).otherwise(F.col("r"))
     return times.select(once.alias("r")).select("r.*")
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """All events, checked: a whole line that is no event, of another version or
+    kind, or an id that comes twice is refused when the rows are read. A last line
+    without its end is left out. ``path``: a file, or a folder at any depth."""
+    return _once(_checked(_lines(spark, path)))
+
+
+def torn(spark: SparkSession, path: str) -> int:
+    """How many files end in a line that was broken off."""
+    every = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n")
+    return every.where(F.trim("value") != "").count() - _lines(spark, path).count()
+
+
 def get(spark: SparkSession, path: str, id_: str) -> DataFrame:
-    return read(spark, path).where(F.col("id") == id_)
+    """The event of an id: only lines that name it are read for events."""
+    rows = _checked(_lines(spark, path).where(F.contains("value", F.lit(id_))))
+    return _once(rows.where(F.col("r.id") == id_))
 
 
 def tail(events: DataFrame, n: int, order: str) -> DataFrame:
@@ -67,6 +96,16 @@ def tail(events: DataFrame, n: int, order: str) -> DataFrame:
     return events.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
+WITHHELD = "[unparseable audit line withheld]"
+
+
+def last(spark: SparkSession, path: str, n: int = 1) -> DataFrame:
+    """The log's last ``n`` lines, nth from 1 on, in the order they were written: a
+    column line. One that is not JSON is not shown, as it may hold anything."""
+    rows = tail(_lines(spark, path), n, "place").select(F.row_number().over(Window.orderBy("place")).alias("nth"), "value")  # n rows
+    return rows.select("nth", F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(WITHHELD).alias("line"))
+
+
 def entity_name(name: Column) -> Column:
     """A type as the log names it, in snake case; a custom one by its own name."""
     snake = F.lower(F.regexp_replace(name, "(?<=[a-z])(?=[A-Z])", "_"))

@@ -34,9 +34,10 @@ class State:
     def warning(self) -> str | None:
         return f"policies of {self.root}, found above and not pinned, are in force" if self.found == "discovered" else None
 
-    def path(self, name: str) -> str:
-        """Of vault, packs or audit, as Spark takes it."""
-        return f"file://{self.root / name}"
+    def path(self, name: str, shared: str | None = None) -> str:
+        """Of vault, packs or audit, as Spark takes it. On a cluster ``shared``, a
+        folder that executors reach too, stands for this machine's."""
+        return f"{shared.rstrip('/')}/{name}" if shared else f"file://{self.root / name}"
 
     def policy(self) -> Policy:
         """Global, repository and session layer; the global one is written first
