@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from maskloom.operators import benchmark, hooks, mask
 from maskloom.operators.vault import Vault, VaultError
-from maskloom.plans.policy import Policy
+from maskloom.plans.policy import DEFAULT, Policy
 from maskloom.sources import artefacts, audit, packs
 
+KEY = b"0123456789abcdef"
 NOTE = "jane@x.org wrote to ops@x.org; jane@x.org again, GB29NWBK60161331926819, token zQ3v9Lm2Xp7RwT6uYbN8dKfJhC1sEoAi on 2026-01-02 in src/lib/main.rs"
 
 
@@ -92,6 +93,74 @@ def test_packs_and_audit(spark, vault, tmp_path):
         packs.load(spark, str(tmp_path / "bad")).collect()
 
 
+def test_a_line_broken_off_is_no_part_of_the_log(spark, tmp_path):
+    made = mask.mask(table(spark, (1, NOTE, None), (2, "x", ".env"), (3, "y", None)), Vault(spark, str(tmp_path / "v"), KEY), "repo", "a", now=1)
+    audit.write(audit.events_of(made, "r1").coalesce(1), str(tmp_path / "log"))
+    file = next((tmp_path / "log").glob("part*"))
+    for crc in (tmp_path / "log").glob(".*.crc"):
+        crc.unlink()
+    whole = file.read_text()
+    for tail in ('{"schema_version":1,"id":"trunc', whole.splitlines()[0].replace('"id":"', '"id":"0')):
+        file.write_text(whole + tail)
+        assert audit.read(spark, str(tmp_path / "log")).count() == 3 and audit.torn(spark, str(tmp_path / "log")) == 1
+        assert [r["line"] for r in audit.last(spark, str(tmp_path / "log"), 2).orderBy("nth").collect()] == whole.splitlines()[1:]
+    audit.write(audit.events_of(made, "r2"), str(tmp_path / "log/later"))
+    assert audit.read(spark, str(tmp_path / "log")).count() == 6
+    first = json.loads(whole.splitlines()[0])["id"]
+    assert audit.get(spark, str(tmp_path / "log"), first).count() == 1 and audit.get(spark, str(tmp_path / "log"), "none").count() == 0
+    file.write_text(whole + "{not json}\n")
+    with pytest.raises(Exception, match="audit log"):
+        audit.read(spark, str(tmp_path / "log")).collect()
+    assert audit.get(spark, str(tmp_path / "log"), first).count() == 1
+    (tmp_path / "one").write_text(whole + "{a secret\n")
+    assert [r["line"] for r in audit.last(spark, str(tmp_path / "one"), 2).orderBy("nth").collect()] == [whole.splitlines()[-1], audit.WITHHELD]
+
+
+def test_a_vault_knows_its_key_and_keeps_its_salt(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    made = Vault(spark, path, KEY)
+    assert len(made.salt) == 32 and Vault(spark, path, KEY).salt == made.salt
+    with pytest.raises(VaultError, match="key"):
+        Vault(spark, path, b"x" * len(KEY))
+    with pytest.raises(VaultError, match="salt"):
+        Vault(spark, path, KEY, b"another")
+    assert made.salt not in (tmp_path / "kept/meta/salt").read_bytes()
+    mask.mask(table(spark, (1, "a@x.org", None)), made, "repo", "a", now=1).collect()
+    again = mask.mask(table(spark, (2, "b@x.org a@x.org", None)), Vault(spark, path, KEY), "repo", "a", now=2).first()
+    assert again["text"] == "EMAIL_002 EMAIL_001"
+
+
+def test_a_vault_refuses_repeats(spark, tmp_path):
+    held = Vault(spark, str(tmp_path / "v"), KEY)
+    mask.mask(table(spark, (1, "a@x.org b@x.org", None)), held, "repo", "a", now=1).collect()
+    held.check()
+    rows = held.mapping()
+    other = rows.withColumn("key_hex", F.concat(F.lit("x"), "key_hex")).withColumn("mapping_ref", F.concat(F.lit("x"), "mapping_ref"))
+    for bad in (rows.union(rows), rows.union(other), rows.withColumn("key_hex", F.lit("k")), rows.withColumn("mapping_ref", F.lit("m"))):
+        with pytest.raises(ValueError, match="twice"):
+            held.commit(bad, held.version())
+    assert held.version() == 1 and held.mapping().count() == 2
+    held.commit(other, 1, held._folders(1))  # each sound alone
+    with pytest.raises(VaultError, match="ordinal"):
+        held.check()
+
+
+def test_half_a_version_is_never_met(spark, tmp_path):
+    held = Vault(spark, str(tmp_path / "v"), KEY)
+    (tmp_path / "v/versions").mkdir()
+    assert held._put("versions/1", b"a") and not held._put("versions/1", b"b")
+    assert (tmp_path / "v/versions/1").read_bytes() == b"a" and not [p for p in (tmp_path / "v/aside").iterdir() if not p.name.startswith(".")]
+    assert held.version() == 1
+
+
+def test_numbers_of_one_hot_artefact(spark):
+    from maskloom.operators.vault import numbered
+
+    df = spark.range(30_000).select(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).alias("seen"), (F.col("id") % 3).alias("tag"), F.col("id").alias("start")).repartition(9)
+    got = numbered(df, ["tag"], ["seen", "start"]).toPandas().sort_values(["tag", "seen", "start"])
+    assert all((g["number"].values == range(1, len(g) + 1)).all() for _, g in got.groupby("tag"))
+
+
 def test_hooks(spark):
     rows = [
         (1, "user-prompt-submit", json.dumps({"prompt": "mail jane@x.org"})),
@@ -122,10 +191,24 @@ def test_benchmark_of_a_corpus(spark, tmp_path):
     rows = artefacts.read_corpus(spark, str(tmp_path / "m.json"))
     assert sorted((r["start"], r["end"]) for r in artefacts.labels(rows).where("entity_type = 'Email'").collect()) == [(3, 13), (18, 28)]
     assert artefacts.in_slice(rows, "s").count() == 1
-    report = benchmark.report(rows, 1, 1)
+    report = benchmark.report(rows, {"p50_us": 1, "p95_us": 1, "max_us": 1}, 1)
     assert report["metrics"] == {"recall": 1.0, "precision": 0.8, "false_positive_rate": pytest.approx(0.2)}
     assert report["recall"] == {"secret": (1, 1), "pii": (3, 3)} and report["raw_left"] == 0 and report["verdict"] == "NoGo"
-    assert "verdict: NoGo" in benchmark.render(report)
+    assert "verdict: NoGo" in benchmark.render(report) and "hook: p50 1, p95 1, max 1 us" in benchmark.render(report)
+    assert report["consistency"] == (2, 2) and report["structure"] == [] and report["gates"]["structural-checks"] is False and report["gates"]["placeholder-consistency"]
+    whole = json.loads(json.dumps(corpus))
+    whole["samples"] += [
+        {"name": ".env", "artefact": {"path": "a/.env"}, "content": "x", "slices": ["artefact-block"]},
+        {"name": "json", "content": '{"a": "jane@x.org"}', "expected": [{"type": "Email", "value": "jane@x.org"}], "slices": ["json-payload"]},
+        {"name": "like", "content": "jane@x.org, not EMAIL_001", "expected": [{"type": "Email", "value": "jane@x.org"}], "decoys": ["EMAIL_001"], "residual_secrets": ["not"]},
+    ]
+    whole["samples"][2]["content"] = "nothing"
+    whole["samples"][0]["content"] = "é jane@x.org and jane@x.org, then 10.0.0.1"
+    (tmp_path / "whole.json").write_text(json.dumps(whole))
+    full = benchmark.report(artefacts.read_corpus(spark, str(tmp_path / "whole.json")), policy={**DEFAULT, "artefacts": {**DEFAULT["artefacts"], "by_language": {"x": "block"}}})
+    assert full["structure"] == [("artefact-block-fires", 1, 1), ("masked-json-still-parses", 1, 1)] and full["gates"]["structural-checks"]
+    assert full["collisions"] == {"samples": 1, "minted": 1, "corrupted": 1} and full["residuals"] == (1, 1) and full["dead"] == ["x"]
+    assert full["gates"]["hot-path-p95"] is None and "look-alikes: 1 samples" in benchmark.render(full) and "jane" not in benchmark.render(full)
     assert [d["benign_false_positives"] for d in report["detectors"] if d["detector"] == "phone"] == [1]
     assert [benchmark.verdict(g) for g in ([True], [True, None], [None, False])] == ["Go", "Incomplete", "NoGo"]
     corpus["samples"][0]["expected"][0]["value"] = "not there"
