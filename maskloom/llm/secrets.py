@@ -1,10 +1,11 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Candidates are whole runs, of any length, of 16 or more key characters with a digit,
-and what is assigned to a name such as ``password``. Their features are length, changes between kinds of
-characters, how much of them a dictionary covers, whether they lie in a path, and
-the words beside them. The forest is trained on labelled findings and turned
-into one Column expression, so scanning a table is a projection: no join, no
+and what is assigned, in 8 characters or more up to a quote or white space, to a
+name such as ``password`` in any case. Their features are length, changes between
+kinds of characters, how much of them a dictionary covers, whether they lie in a
+path, and the words beside them. The forest is trained on labelled findings and
+turned into one Column expression, so scanning a table is a projection: no join, no
 shuffle, no Python.
 """
 
@@ -16,16 +17,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm.util import fresh
+from maskloom.functions.bytesview import bind, running_sum
+from maskloom.llm.util import session
 
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
-#: Names that say so, in any case; what is assigned to them may hold the usual marks.
+KEY = "A-Za-z0-9+/_-"
+RUN = rf"(?<![{KEY}])(?=[A-Za-z+/_-]*+[0-9])[{KEY}]{{16,}}+={{0,2}}"
+#: Names that say so, in any case.
 NAMES = "password|passwd|pwd|secret|token|api[ _-]?key|auth|bearer|credential|private|access[ _-]?key"
-MARKED = "A-Za-z0-9+/_!@#$%^&*~-"
-# the first look-behind, of one character, spares most places the second
-GIVEN = rf"(?<=[:= \"'])(?<=(?i:{NAMES})s?[\"']?[ ]?[:=][ ]?[\"']?)[.?{MARKED}]{{7,}}[{MARKED}]={{0,2}}"
+#: What is assigned goes on to a quote or white space, less a sentence's last marks.
+VALUE = r"[^\s\"']{7,}[^\s\"'.,;:?)\]}>]"
+# the first look-behind, of three characters at most, spares most places the second
+GIVEN = rf"(?<=[:=][ ]?[\"']?)(?<=(?i:{NAMES})s?[\"']?[ ]?[:=][ ]?[\"']?){VALUE}"
 CANDIDATE = f"{GIVEN}|{RUN}"
-#: What a text must hold for any candidate; a quick test before the long one.
+#: What every text with a candidate holds: quick, as few places come past the first character.
+HINT = rf"[:=][ ]?[\"']?[^\s\"']{{8}}|(?<![{KEY}])(?=[A-Za-z+/_-]*+[0-9])[{KEY}]{{16}}"
+#: Characters that are looked at before and after a candidate.
 NEAR, AFTER = 40, 16
 SECRET_WORDS = rf"(?i)(?:{NAMES})s?[^A-Za-z0-9]{{0,6}}$"
 OTHER_WORDS = r"(?i)(?:commit|revision|sha|sha1|sha256|md5|checksum|digest|isbn|order|invoice|phone|tel|card|uuid|guid|version|build|page|date|file|path|ticket)[^A-Za-z0-9]{0,6}$"
@@ -81,21 +87,28 @@ def features(token: Column, before: Column, after: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array of struct(at, token, before, after): characters from 0, in order."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(text, CANDIDATE, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,token:string,before:string,after:string>>").alias("all"))
-
-    def one(s: Column, x: Column) -> Column:
-        at = s["at"] + F.length(x["gap"])
-        before = F.right(x["gap"], F.lit(NEAR))
-        got = F.struct(at.alias("at"), x["token"].alias("token"), before.alias("before"), F.substring(x["next"], 1, AFTER).alias("after"))
-        return F.struct((at + F.length(x["token"])).alias("at"), F.concat(s["all"], F.array(got)).alias("all"))
-
-    n = F.size(found)
-    rows = F.arrays_zip(F.slice(gaps, 1, n).alias("gap"), found.alias("token"), F.slice(gaps, 2, n).alias("next"))
-    rows = F.transform(rows, lambda r: F.struct(r["gap"].alias("gap"), r["token"].alias("token"), F.coalesce(r["next"], F.lit("")).alias("next")))
-    return F.when(F.rlike(text, F.lit(CANDIDATE)), F.aggregate(rows, start, one, lambda s: s["all"]))
+    """struct(all, tail). all: array of struct(at, token, gap, before, after), in
+    order, ``at`` in characters from 0; a text is its candidates' gaps and tokens in
+    turn, then ``tail``. Only texts with HINT have any."""
+    piece = f"\\G[\\s\\S]*?({CANDIDATE})"  # a gap and its candidate; what is after the last is looked at once
+    pieces = F.regexp_extract_all(text, F.lit(piece), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(piece), F.lit(1))
+
+    def placed(x: Column) -> Column:
+        sizes = F.transform(x["pieces"], lambda p: F.length(p))
+        parts = F.zip_with(x["pieces"], x["tokens"], lambda p, t: F.struct(t.alias("token"), F.left(p, F.length(p) - F.length(t)).alias("gap")))
+        end = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+        return F.struct(running_sum(sizes).alias("ends"), parts.alias("parts"), F.substr(text, end + 1).alias("tail"))
+
+    def named(x: Column) -> Column:
+        nexts = F.concat(F.slice(F.transform(x["parts"], lambda p: F.left(p["gap"], F.lit(AFTER))), 2, F.size(x["parts"])), F.array(F.left(x["tail"], F.lit(AFTER))))
+        where = F.zip_with(x["ends"], F.slice(nexts, 1, F.size(x["parts"])), lambda end, after: F.struct(end.alias("end"), after.alias("after")))
+        one = lambda p, w: F.struct(
+            (w["end"] - F.length(p["token"])).alias("at"), p["token"].alias("token"), p["gap"].alias("gap"), F.right(p["gap"], F.lit(NEAR)).alias("before"), w["after"].alias("after")
+        )
+        return F.struct(F.zip_with(x["parts"], where, one).alias("all"), x["tail"].alias("tail"))
+
+    return bind(bind(F.struct(pieces.alias("pieces"), tokens.alias("tokens")), placed), named)
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
@@ -200,13 +213,13 @@ class Forest:
         return reduce(lambda a, b: a + b, (_columns(t, of) for t in self.trees)) / float(len(self.trees))
 
 
-def findings(text: Column, forest: Forest) -> Column:
-    """array of struct(at, size, token, score) of every candidate of a text."""
-    with_features = F.transform(candidates(text), lambda c: F.struct(c["at"].alias("at"), c["token"].alias("token"), features(c["token"], c["before"], c["after"]).alias("f")))
-    return F.transform(
-        with_features,
-        lambda c: F.struct(c["at"].alias("at"), F.length(c["token"]).alias("size"), c["token"].alias("token"), forest.score(c["f"]).alias("score")),
+def _scored(found: Column, forest: Forest) -> Column:
+    """array of struct(at, size, token, gap, score) of the candidates ``found``."""
+    with_features = F.transform(found, lambda c: F.struct(c.alias("c"), features(c["token"], c["before"], c["after"]).alias("f")))
+    one = lambda x: F.struct(
+        x["c"]["at"].alias("at"), F.length(x["c"]["token"]).alias("size"), x["c"]["token"].alias("token"), x["c"]["gap"].alias("gap"), forest.score(x["f"]).alias("score")
     )
+    return F.transform(with_features, one)
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> DataFrame:
@@ -214,25 +227,22 @@ def scan(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> Dat
     0), score and secret (1 from ``cut``); what it reads is not given. Null and
     empty texts have none; null and repeated doc_ids stay; an empty table gives
     no rows; other columns have no effect."""
-    forest = forest or Forest.train(labelled_findings(docs.sparkSession))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.rlike("text", F.lit(CANDIDATE)))
-    rows = rows.select("doc_id", F.explode(findings(F.col("text"), forest)).alias("f"))
+    forest = forest or Forest.train(labelled_findings(session(docs)))
+    rows = docs.where(F.rlike("text", F.lit(HINT))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # of a column, not of an expression, Spark would test the whole search before the search
+    rows = rows.select("doc_id", F.explode(_scored(candidates(F.col("text"))["all"], forest)).alias("f"))
     start = F.col("f.at").cast("long")
     return rows.select("doc_id", start.alias("start"), (start + F.col("f.size")).alias("end"), F.col("f.score").alias("score"), (F.col("f.score") >= cut).cast("int").alias("secret"))
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, cut: float = CUT, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret in text replaced by ``mark``; all else stays."""
-    forest = forest or Forest.train(labelled_findings(docs.sparkSession))
-    name = fresh(docs, "secrets")
-    found = F.filter(findings(F.col("text"), forest), lambda f: f["score"] >= cut)
-    rows = docs.withColumn(name, found)
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
-    put = F.aggregate(
-        name,
-        start,
-        lambda s, f: F.struct((f["at"] + f["size"] + 1).alias("at"), F.concat(s["out"], F.substr(text, s["at"], f["at"] + 1 - s["at"]), F.lit(mark)).alias("out")),
-        lambda s: F.concat(s["out"], F.substr(text, s["at"], F.length(text))),
-    )
-    return rows.withColumn("text", F.when(F.size(name) > 0, put).otherwise(text)).select(*docs.columns)
+    """``docs`` with each secret in text replaced by ``mark``; all else stays, null
+    and empty texts too."""
+    forest = forest or Forest.train(labelled_findings(session(docs)))
+
+    def put(x: Column) -> Column:
+        parts = F.transform(_scored(x["all"], forest), lambda f: F.concat(f["gap"], F.when(f["score"] >= cut, mark).otherwise(f["token"])))
+        return F.concat(F.array_join(parts, ""), x["tail"])
+
+    clean = F.when(F.rlike("text", F.lit(HINT)), bind(candidates(F.col("text")), put)).otherwise(F.col("text"))
+    return docs.withColumn("text", clean).select(*docs.columns)
