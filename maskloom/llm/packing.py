@@ -10,7 +10,9 @@ What a bin's choice depends on is lengths alone, and there are no more lengths
 than tokens in a sequence. So the driver packs a histogram (one row a length),
 with equal bins held as one class, and gets intervals of ranks within a length;
 each piece then finds its own bin from its rank. The packing is that of one
-global best-fit over all pieces, whatever their number.
+global best-fit over all pieces, one after the other, whatever their number. By
+default only tokens bind, as then fewest sequences are made; ``max_docs`` and
+``max_cost`` bind the other two capacities.
 """
 
 from __future__ import annotations
@@ -114,7 +116,8 @@ def best_fit(lengths, counts, capacity=4096, max_docs=None, max_cost=None, selec
                 residual, start, have = left[best].copy(), int(first[best]), int(many[best])
             else:
                 best, residual, start, have = None, limit.copy(), bins, n
-            each = int(min((residual // item).min(), n))
+            # a bin filled by norm stays the best; by dot product it falls behind its likes
+            each = 1 if select == "dot" and best is not None else int(min((residual // item).min(), n))
             full = min(n // each, have)
             if full:
                 out.append((length, rank, full * each, each, start, int(capacity - residual[0])))
