@@ -56,6 +56,23 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table of less for each core is small.
+SMALL = 64 << 20
+
+
+def spread(df):
+    """``df``, dealt out over the cores where it is a small table in fewer files than
+    there are cores: a file may be a single row group, which one task reads. Other
+    tables are as their scans deal them out, without a shuffle."""
+    if df.isStreaming:
+        return df
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def clear(spark) -> None:
     """Remove all that this application has written to the shared folder. Tables
     that were read from there cannot be read any more."""

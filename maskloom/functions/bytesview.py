@@ -22,8 +22,10 @@ def ascii_boundaries(pattern: str) -> str:
 
 def view(content: Column, binary: bool = False) -> Column:
     """The bytes of ``content`` (a string, or binary) as Latin-1 text."""
-    raw = content if binary else F.encode(content, "UTF-8")
-    return F.decode(raw, "ISO-8859-1")
+    if binary:
+        return F.decode(content, "ISO-8859-1")
+    # ASCII is its own view
+    return F.when(F.octet_length(content) == F.length(content), content).otherwise(F.decode(F.encode(content, "UTF-8"), "ISO-8859-1"))
 
 
 def unview(text: Column) -> Column:
@@ -55,23 +57,30 @@ def running_sum(numbers: Column, part: int = 256) -> Column:
     return F.when(F.size(numbers) <= part, plain(numbers, F.lit(0))).otherwise(by_parts(numbers))
 
 
+#: Stands in no view: put around matches to cut a text at them.
+MARK = "\u0100"
+
+
 def find_spans(text: Column, pattern: str, prefilter: Column | None = None, shift: Column | None = None) -> Column:
     """array of struct(start, end, text): all matches that do not overlap, from
-    left to right. ``prefilter``: a cheap test that every text with a match
-    passes. ``shift`` is added to all positions."""
+    left to right, in one pass over a view. ``prefilter``: a cheap test that every
+    text with a match passes. ``shift`` is added to all positions."""
     from_ = F.lit(0) if shift is None else shift
     none = F.array().cast(f"array<{SPAN}>")
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)  # a gap, a match, ..., a gap
 
     def placed(x: Column) -> Column:
-        span = lambda end, found: F.struct((end - F.length(found) + from_).cast("int").alias("start"), (end + from_).cast("int").alias("end"), found.alias("text"))
-        return F.zip_with(running_sum(x["sizes"]), x["found"], span)
+        def span(i: Column) -> Column:
+            end, found = F.element_at(x["ends"], i), F.element_at(x["parts"], i)
+            return F.struct((end - F.length(found) + from_).cast("int").alias("start"), (end + from_).cast("int").alias("end"), found.alias("text"))
+
+        return F.transform(F.sequence(F.lit(2), F.size(x["parts"]) - 1, F.lit(2)), span)
 
-    def spans(found: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-        sizes = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))
-        return F.when(F.size(found) > 0, bind(F.struct(found.alias("found"), sizes.alias("sizes")), placed)).otherwise(none)
+    def spans(ps: Column) -> Column:
+        ends = running_sum(F.transform(ps, lambda p: F.length(p)))
+        return F.when(F.size(ps) > 1, bind(F.struct(ps.alias("parts"), ends.alias("ends")), placed)).otherwise(none)
 
-    found = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+    found = bind(parts, spans)
     return found if prefilter is None else F.when(prefilter, found).otherwise(none)
 
 

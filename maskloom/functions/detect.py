@@ -24,10 +24,18 @@ IPV4_BARE = OCTET + r"(?:\." + OCTET + r"){3}"
 IPV4 = rf"\b{IPV4_BARE}\b"
 H = "[A-Fa-f0-9]{1,4}"
 IPV6 = "|".join(
-    [f"::[Ff]{{4}}:{IPV4_BARE}", f"(?:{H}:){{7}}{H}", f"(?:{H}:){{1,7}}:"]
-    + [f"(?:{H}:){{1,6}}:{H}"]
-    + [f"(?:{H}:){{1,{7 - n}}}(?::{H}){{1,{n}}}" for n in range(2, 6)]
-    + [f"{H}:(?:(?::{H}){{1,6}})", f":(?:(?::{H}){{1,7}}|:)"]
+    (
+        rf"::[Ff]{{4}}:{IPV4_BARE}",
+        rf"(?:{H}:){{7}}{H}",
+        rf"(?:{H}:){{1,7}}:",
+        rf"(?:{H}:){{1,6}}:{H}",
+        rf"(?:{H}:){{1,5}}(?::{H}){{1,2}}",
+        rf"(?:{H}:){{1,4}}(?::{H}){{1,3}}",
+        rf"(?:{H}:){{1,3}}(?::{H}){{1,4}}",
+        rf"(?:{H}:){{1,2}}(?::{H}){{1,5}}",
+        rf"{H}:(?:(?::{H}){{1,6}})",
+        rf":(?:(?::{H}){{1,7}}|:)",
+    )
 )
 IBAN = r"(?i)\b[A-Z]{2}[0-9]{2}(?:[ ][A-Z0-9]{4}){2,7}(?:[ ][A-Z0-9]{1,3})?\b|\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"
 SORT_CODE = r"\b[0-9]{2}[- ][0-9]{2}[- ][0-9]{2}\b"
@@ -41,6 +49,9 @@ SHA_WORDS = ("commit", "sha1", "sha256", "sha", "rev")
 CONFIDENCE = {"email": 0.9, "phone": 0.7, "ip": 0.85, "iban-sortcode": 0.75}
 #: How far back a word before a commit id is looked for.
 SHA_REACH = 256
+#: What a text must hold for most detectors: two digits, with at most a mark between
+#: them. Few texts do, and for the others one pass stands for five.
+DIGITS = r"[0-9](?:[0-9]|[-. ()][0-9])"
 
 
 def _finding(entity: str, detector: str, span: Column, confidence: Column | None = None) -> Column:
@@ -72,7 +83,7 @@ def email(b: Column) -> Column:
 def ip(b: Column) -> Column:
     """IPv4 within an IPv6 finding is that finding's."""
     v4 = find_spans(b, ascii_boundaries(IPV4), F.rlike(b, F.lit(r"[0-9]\.[0-9]")))
-    v6 = find_spans(b, IPV6, F.contains(b, F.lit(":")) & F.rlike(b, F.lit("::|[A-Fa-f0-9]:[A-Fa-f0-9:]")))
+    v6 = find_spans(b, IPV6, F.rlike(b, F.lit(":(?::|(?<=[A-Fa-f0-9]:)[A-Fa-f0-9])")))
     both = F.struct(v4.alias("v4"), v6.alias("v6"))
     kept = lambda x: F.concat(F.filter(x["v4"], lambda a: ~F.exists(x["v6"], lambda c: (c["start"] <= a["start"]) & (a["end"] <= c["end"]))), x["v6"])
     return _findings("InternalIp", "ip", bind(both, kept))
@@ -114,7 +125,7 @@ def _isbn(b: Column, s: Column) -> Column:
 
 def phone(b: Column) -> Column:
     """Digit runs with a phone's marks, less dates, book numbers and postcodes."""
-    spans = find_spans(b, PHONE, F.rlike(b, F.lit("[0-9][-. ()]?[0-9]")))
+    spans = find_spans(b, PHONE, F.rlike(b, F.lit(DIGITS)))
 
     def is_phone(s: Column) -> Column:
         n = F.length(F.regexp_replace(s["text"], "[^0-9]", ""))
@@ -157,7 +168,9 @@ def entropy(b: Column, least: int = TOKEN_LENGTH, threshold: float = ENTROPY_THR
     """Long tokens of high entropy that are neither structured names nor commit ids."""
     # a run is looked at from its first character only
     pattern = f"(?<!{TOKEN_CHARACTERS}){TOKEN_CHARACTERS}{{{least},}}+"
-    tokens = find_spans(b, pattern, F.rlike(b, F.lit(pattern)))
+    # it lies in a run of as many characters but white space, after such or the beginning
+    long_run = F.rlike(b, F.lit(rf"\s\S{{{least}}}")) | F.rlike(F.left(b, F.lit(least)), F.lit(rf"^\S{{{least}}}"))
+    tokens = find_spans(b, pattern, long_run)
 
     def scored(s: Column) -> Column:
         plain = F.when(structured_identifier(s["text"]), True).otherwise(commit_id(b, s["start"], s["text"]))
@@ -170,6 +183,8 @@ def entropy(b: Column, least: int = TOKEN_LENGTH, threshold: float = ENTROPY_THR
 
 #: In the order they run.
 DETECTORS = {"email": email, "phone": phone, "ip": ip, "iban-sortcode": iban_sortcode, "entropy": entropy}
+#: Those that find nothing in a text without DIGITS.
+NUMERIC = (phone, iban_sortcode)
 #: Of the detectors that made a result.
 PROVENANCE = "+".join(sorted(DETECTORS))
 
@@ -177,5 +192,7 @@ PROVENANCE = "+".join(sorted(DETECTORS))
 def scan(b: Column, detectors=None) -> Column:
     """All detectors' findings, one after the other, unusable spans left out."""
     fs = list((DETECTORS if detectors is None else detectors).values())
-    found = bind(b, lambda x: F.concat(*[f(x) for f in fs])) if fs else F.array().cast(f"array<{FINDING}>")
+    none = F.array().cast(f"array<{FINDING}>")
+    seen = lambda x, f: F.when(x["digits"], f(x["b"])).otherwise(none) if f in NUMERIC else f(x["b"])
+    found = bind(b, lambda v: bind(F.struct(v.alias("b"), F.rlike(v, F.lit(DIGITS)).alias("digits")), lambda x: F.concat(*[seen(x, f) for f in fs]))) if fs else none
     return F.filter(found, lambda f: (f["start"] < f["end"]) & (f["end"] <= F.length(b)))

@@ -12,7 +12,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom import written
+from maskloom import spread, written
 from maskloom.functions import detect
 from maskloom.functions.bytesview import unview, view
 from maskloom.functions.keying import display, redaction_marker
@@ -37,7 +37,8 @@ def analyse(artefacts: DataFrame, policy: Policy | None = None, detectors=None)
     binary = dict(artefacts.dtypes)["content"] == "binary"
     content = F.coalesce(F.col("content"), F.lit(b"" if binary else ""))
     blocked = policy.artefact_class(*[_hint(artefacts, h) for h in HINTS]) == BLOCK
-    rows = artefacts.select("artefact_id", blocked.alias("blocked"), view(content, binary).alias("bytes"))
+    rows = spread(artefacts.select("artefact_id", blocked.alias("blocked"), content.alias("content")))
+    rows = rows.select("artefact_id", "blocked", view(F.col("content"), binary).alias("bytes"))
     none = F.array().cast(f"array<{detect.FINDING}>")
     rows = rows.withColumn("raw", F.when(F.col("blocked"), none).otherwise(detect.scan(F.col("bytes"), detectors)))
     classed = lambda f: f.withField("class", policy.entity_class(f["entity_type"]))

@@ -69,21 +69,31 @@ def _fragments(findings: Column) -> Column:
     return F.transform(merged, fragment)
 
 
+#: Bytes of a text that are looked at together where findings are rows.
+BLOCK = 1024
+
+
 def resolve_rows(findings: DataFrame, by: str = "artefact_id") -> DataFrame:
     """The same for exploded findings, one row each: as a table, for texts with
-    very many. Cut points make cells, each cell goes to the least rank over it,
-    and neighbouring cells of one finding become a fragment."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(*map(F.expr, RANK)))
-    ranked = findings.withColumn("rank", rank)
-    edges = ranked.select(by, F.explode(F.array("start", "end")).alias("at")).distinct()
-    nexts = F.lead("at").over(Window.partitionBy(by).orderBy("at"))
-    cells = edges.select(by, F.col("at").alias("cell"), nexts.alias("cell_end")).where("cell_end is not null")
-    over = cells.join(ranked.select(by, "rank", "start", "end"), by).where("start <= cell and cell_end <= end")
-    owner = over.groupBy(by, "cell", "cell_end").agg(F.min("rank").alias("rank"))
-    place = Window.partitionBy(by, "rank").orderBy("cell")
+    very many. A text is cut into blocks, so no step holds all findings of one:
+    edges make cells within a block, each cell goes to the least rank over it, and
+    neighbouring cells of one finding, over blocks too, become a fragment."""
+    rank = F.struct(*[F.expr(x).alias(f"r{i}") for i, x in enumerate(RANK)], "end").alias("rank")
+    ranked = findings.select(by, rank).distinct()
+    first, last = F.floor(F.col("rank.r2") / BLOCK), F.floor((F.col("rank.end") - 1) / BLOCK)
+    parts = ranked.where("rank.r2 < rank.end").withColumn("block", F.explode(F.sequence(first, last)))
+    parts = parts.withColumns({"s": F.greatest(F.col("rank.r2"), F.col("block") * BLOCK).cast("int"), "e": F.least(F.col("rank.end"), (F.col("block") + 1) * BLOCK).cast("int")})
+    edges = parts.select(by, "block", F.explode(F.array("s", "e")).alias("cell")).distinct()
+    nexts = F.lead("cell").over(Window.partitionBy(by, "block").orderBy("cell"))  # BLOCK + 1 rows at most
+    cells = edges.withColumn("cell_end", nexts).where("cell_end is not null")
+    over = cells.join(parts, [by, "block"]).where("s <= cell and cell_end <= e")
+    owner = over.groupBy(by, "block", "cell", "cell_end").agg(F.min("rank").alias("rank"))
+    place = Window.partitionBy(by, "rank").orderBy("cell")  # of one finding
     new = F.coalesce((F.lag("cell_end").over(place) != F.col("cell")).cast("int"), F.lit(1))
     runs = owner.withColumn("new", new).withColumn("run", F.sum("new").over(place))
-    spans = runs.groupBy(by, "rank", "run").agg(F.min("cell").alias("s"), F.max("cell_end").alias("e"))
-    out = spans.join(ranked, [by, "rank"])
-    keep = [c for c in findings.columns if c not in ("start", "end")]
-    return out.select(*keep, F.col("s").alias("start"), F.col("e").alias("end")).select(*findings.columns)
+    spans = runs.groupBy(by, "rank", "run").agg(F.min("cell").alias("s"), F.max("cell_end").alias("e")).drop("run")
+    # findings of one rank are one finding; the first of those that differ in what is not ranked
+    one = findings.groupBy(by, rank).agg(F.min(F.struct(*[c for c in findings.columns if c != by])).alias("f"))
+    out = spans.join(one, [by, "rank"])
+    keep = [F.col(by) if c == by else F.col("s").alias(c) if c == "start" else F.col("e").alias(c) if c == "end" else F.col(f"f.{c}").alias(c) for c in findings.columns]
+    return out.select(*keep)

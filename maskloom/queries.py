@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom import shared_dir, ship
+from maskloom import shared_dir, ship, spread
 from maskloom.functions import detect, keying, parse, routes
 from maskloom.functions.bytesview import find_spans, unview, view
 from maskloom.operators import benchmark, hooks, mask, overlap, vault
@@ -39,7 +39,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 def _values(df: DataFrame, id_: str, text, found) -> DataFrame:
     """A row a finding of ``found(view(text))``: id and the value."""
-    return df.select(id_, F.explode(found(view(text))).alias("f")).select(id_, unview(F.col("f.value")).alias("value"))
+    return spread(df.select(id_, text.alias("t"))).select(id_, F.explode(found(view(F.col("t")))).alias("f")).select(id_, unview(F.col("f.value")).alias("value"))
 
 
 def docs(spark, sf_dir: str) -> DataFrame:
@@ -299,7 +299,7 @@ shown AS (SELECT tag, key, tag || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS
 )
 def census(spark, sf_dir):
     """All detectors: findings, mean and longest span, by detector and type."""
-    rows = docs(spark, sf_dir).select(F.explode(detect.scan(view(F.col("content")))).alias("f")).select("f.*")
+    rows = spread(docs(spark, sf_dir)).select(F.explode(detect.scan(view(F.col("content")))).alias("f")).select("f.*")
     size = F.col("end") - F.col("start")
     return rows.groupBy("detector", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(size), 3).alias("mean"), F.max(size).alias("longest"))
 
@@ -307,7 +307,7 @@ def census(spark, sf_dir):
 @query(f"WITH {_analysed(_DOCS)} SELECT src.id AS artefact_id, CAST(count(f.id) AS INTEGER) AS n FROM src LEFT JOIN f ON f.id = src.id GROUP BY 1 ORDER BY n DESC, artefact_id LIMIT 15")
 def census_top(spark, sf_dir):
     """The 15 documents with most findings."""
-    rows = docs(spark, sf_dir).select("artefact_id", F.size(detect.scan(view(F.col("content")))).alias("n"))
+    rows = spread(docs(spark, sf_dir)).select("artefact_id", F.size(detect.scan(view(F.col("content")))).alias("n"))
     return rows.orderBy(F.desc("n"), "artefact_id").limit(15)
 
 
@@ -735,7 +735,7 @@ def label_occurrences(spark, sf_dir):
 
 def _parsed(df: DataFrame, id_: str, text, kind: str) -> DataFrame:
     ship(df.sparkSession)
-    rows = df.select(id_, view(text).alias("b")).select(id_, "b", parse.parse(F.col("b"), kind).alias("spans"))
+    rows = spread(df.select(id_, text.alias("b"))).select(id_, view(F.col("b")).alias("b")).select(id_, "b", parse.parse(F.col("b"), kind).alias("spans"))
     rows = rows.select(id_, "b", F.explode("spans").alias("s"))
     value = unview(F.substr("b", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))
     return rows.select(id_, F.col("s.start").alias("start"), "s.node_kind", "s.node_arg", value.alias("value"))

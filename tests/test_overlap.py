@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from maskloom.operators import overlap
 from maskloom.operators.overlap import resolve, resolve_rows
 from maskloom.schema import FINDING, ORDER
 
@@ -26,7 +28,8 @@ def make(kind, start, end, detector="d"):
     return (kind, ORDER[kind], start, end, 0.5, detector, "".join(chr(97 + i % 26) for i in range(start, end)))
 
 
-def test_random_cases(spark):
+@pytest.mark.parametrize("block", [4, 1024])
+def test_random_cases(spark, monkeypatch, block):
     rng = random.Random(3)
     cases = [(0, []), (1, [make("Secret", 0, 30), make("Email", 5, 10), make("Email", 20, 25)])]
     for i in range(2, 400):
@@ -35,6 +38,7 @@ def test_random_cases(spark):
     df = spark.createDataFrame(cases, f"artefact_id int, f array<{FINDING}>")
     arrays = {r["artefact_id"]: r["f"] for r in df.select("artefact_id", resolve(F.col("f")).alias("f")).collect()}
     table: dict = {}
+    monkeypatch.setattr(overlap, "BLOCK", block)
     for r in resolve_rows(df.select("artefact_id", F.explode("f").alias("x")).select("artefact_id", "x.*")).collect():
         table.setdefault(r["artefact_id"], []).append((r["entity_type"], r["start"], r["end"]))
     for i, fs in cases:
