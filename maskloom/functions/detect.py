@@ -190,9 +190,14 @@ PROVENANCE = "+".join(sorted(DETECTORS))
 
 
 def scan(b: Column, detectors=None) -> Column:
-    """All detectors' findings, one after the other, unusable spans left out."""
+    """All detectors' findings, one after the other, unusable spans left out; those
+    of Python functions (see ``extend.of_python``) after the others'."""
     fs = list((DETECTORS if detectors is None else detectors).values())
+    python, plain = [f for f in fs if hasattr(f, "python")], [f for f in fs if not hasattr(f, "python")]
     none = F.array().cast(f"array<{FINDING}>")
     seen = lambda x, f: F.when(x["digits"], f(x["b"])).otherwise(none) if f in NUMERIC else f(x["b"])
-    found = bind(b, lambda v: bind(F.struct(v.alias("b"), F.rlike(v, F.lit(DIGITS)).alias("digits")), lambda x: F.concat(*[seen(x, f) for f in fs]))) if fs else none
+    read = lambda v: F.struct(v.alias("b"), F.rlike(v, F.lit(DIGITS)).alias("digits"))
+    found = bind(b, lambda v: bind(read(v), lambda x: F.concat(*[seen(x, f) for f in plain]))) if plain else none
+    if python:  # which no lambda may hold
+        found = F.concat(found, *[f(b) for f in python])
     return F.filter(found, lambda f: (f["start"] < f["end"]) & (f["end"] <= F.length(b)))

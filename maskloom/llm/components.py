@@ -32,10 +32,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = materialise(links, "links")  # a round reads them several times
-    before = None
+    before, n = None, links.count()
     while True:
-        links = materialise(_stars(_stars(links, True), False), "stars")
+        # a round has no more links than nodes, of which there are two a link at most
+        links = materialise(_stars(_stars(links, True), False), "stars", 2 * n)
         mark = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = mark
+        before, n = mark, mark[0]

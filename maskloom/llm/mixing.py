@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.util import fresh, materialise, row_hash, session
+from maskloom.llm.util import fresh, materialise, row_hash, session, spread
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -66,7 +66,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     by = _turns(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
     by = by.select("source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("stop"))
-    by = materialise(by, "weights")
+    by = materialise(by, "weights", by.count())
     total, level, held = by.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
     while True:
         over = F.col("stop") < F.lit(level) * F.col("weight")
@@ -74,6 +74,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
         if n == held or not open_:  # held ones stay held: the level only rises
             break
         level, held = max(0.0, total - (stops or 0.0)) / open_, n
+    # of a table that is written: a source's target is a projection of its row
     return by.select("source", "source_size", F.least("stop", F.lit(level) * F.col("weight")).alias("target"))
 
 
@@ -187,14 +188,16 @@ def dependent_rounding(units: DataFrame, block: int = BLOCK) -> DataFrame:
     item = F.struct((-F.col("size")).alias("order"), id_.alias("id"), "key", "copy", "size", whole.cast("long").alias("whole"), _snap(F.col("rate") - whole).alias("x")).cast(ITEM)
     rows = units.select("source", item.alias("item")).withColumn("x", F.col("item.x"))
     done = materialise(_leaves(_dealt(rows, ["source", "x"], block, 0)), "leaves")
+    n = done.count()  # blocks, of an open document each at most
     settled = [done.select("source", F.explode("done").alias("item"))]
     level = 1
     while True:
         open_ = done.where("open is not null").select("source", F.col("open").alias("item"))
-        dealt = materialise(_dealt(open_, ["source"], block, level), "open")
-        if dealt.isEmpty():
+        dealt = materialise(_dealt(open_, ["source"], block, level), "open", n)
+        n = dealt.count()
+        if not n:
             break
-        done = materialise(_pairs(dealt), "paired")
+        done = materialise(_pairs(dealt), "paired", n)
         settled.append(done.select("source", F.explode("done").alias("item")))
         ends = done.where("last").select("source", F.col("open").alias("item"))
         by_chance = F.when(_chance(F.lit(-1), F.col("item.id")) < F.col("item.x"), 1.0).otherwise(0.0)
@@ -222,7 +225,7 @@ def mix(sized: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK)
     its size, ``most`` times at most). Rows of size 0 take none. Reruns agree,
     however rows are dealt out."""
     kinds = materialise(sized.groupBy("source", "key", "size").agg(F.count(F.lit(1)).alias("rows")), "kinds")
-    targets = materialise(source_targets(kinds.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, most), "targets")
+    targets = source_targets(kinds.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, most)
     same = F.col("k.source").eqNullSafe(F.col("t.source"))
     with_target = kinds.alias("k").join(targets.alias("t"), same).select("k.*", "source_size", "target")
     units = _repeat(with_target, "rows", "copy")
@@ -239,7 +242,8 @@ def mix_documents(docs: DataFrame, **kind) -> DataFrame:
     size 0; a null source is a source; repeated doc_ids and null ones stay rows
     of their own; an empty table stays empty; other columns have no effect."""
     session(docs)
-    sized = docs.select(F.col("doc_id").cast("long").alias("key"), "source", n_words(F.col("text")).alias("size"))
+    texts = spread(docs.select(F.col("doc_id").cast("long").alias("key"), "source", "text"))
+    sized = texts.select("key", "source", n_words(F.col("text")).alias("size"))
     return mix(sized, **kind).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
@@ -252,7 +256,7 @@ def mixed(docs: DataFrame, **kind) -> DataFrame:
     plan = mix(sized, **kind).groupBy("key").agg(
         F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("long").alias(times), F.count(F.lit(1)).alias(repeats)
     )
-    plan = materialise(plan.where(F.col(times) > 0).withColumnRenamed("key", key), "plan")
+    plan = materialise(plan.where(F.col(times) > 0).withColumnRenamed("key", key), "plan", keyed.count())
     # a merge join at every size: the plan grows with the table
     whole = keyed.join(plan.hint("merge"), key)
     once = whole.where(F.col(repeats) == 1)

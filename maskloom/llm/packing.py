@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.tokens import encoder, vocabulary_path, with_end
-from maskloom.llm.util import materialise, session
+from maskloom.llm.util import materialise, session, spread
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 SALTS = 1024
@@ -73,7 +73,7 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None =
                 cols, names = [*cols, pa.array([bytes(x) for x in parts], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(cut, schema)
 
 
 def best_fit(lengths, counts, capacity=4096, max_docs=None, max_cost=None, select="norm", weights=(1.0, 1e-3, 1e-3)):

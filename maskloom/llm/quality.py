@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm.ftrl import Ftrl, sample, sigmoid
-from maskloom.llm.util import held_out, session
+from maskloom.llm.util import held_out, session, spread
 
 #: Hashed features; one more is the constant.
 SIZE = 1 << 18
@@ -149,7 +149,7 @@ def score(docs: DataFrame, weights: np.ndarray, cut: float = CUT) -> DataFrame:
             got = [features.scores(p, model.value) for p in parts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got) if got else np.zeros(0))], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions.bytesview import bind, running_sum
-from maskloom.llm.util import session
+from maskloom.llm.util import session, spread
 
 KEY = "A-Za-z0-9+/_-"
 RUN = rf"(?<![{KEY}])(?=[A-Za-z+/_-]*+[0-9])[{KEY}]{{16,}}+={{0,2}}"
@@ -228,7 +228,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> Dat
     empty texts have none; null and repeated doc_ids stay; an empty table gives
     no rows; other columns have no effect."""
     forest = forest or Forest.train(labelled_findings(session(docs)))
-    rows = docs.where(F.rlike("text", F.lit(HINT))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where(F.rlike("text", F.lit(HINT)))
     # of a column, not of an expression, Spark would test the whole search before the search
     rows = rows.select("doc_id", F.explode(_scored(candidates(F.col("text"))["all"], forest)).alias("f"))
     start = F.col("f.at").cast("long")
@@ -245,4 +245,4 @@ def redact(docs: DataFrame, forest: Forest | None = None, cut: float = CUT, mark
         return F.concat(F.array_join(parts, ""), x["tail"])
 
     clean = F.when(F.rlike("text", F.lit(HINT)), bind(candidates(F.col("text")), put)).otherwise(F.col("text"))
-    return docs.withColumn("text", clean).select(*docs.columns)
+    return spread(docs).withColumn("text", clean).select(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskloom.llm.components import components
-from maskloom.llm.util import fresh, materialise, session
+from maskloom.llm.util import fresh, materialise, session, spread
 
 WORDS, BITS, SEGMENTS, SEED = 3, 3, 5, 42
 
@@ -34,7 +34,11 @@ def simhash(text: str | None, words: int = WORDS) -> int:
         return 0
     hashed = xxhash.xxh64_intdigest
     runs = zip(*(found[i:] for i in range(words))) if len(found) >= words else [found]
-    h = np.fromiter((hashed(b" ".join(x), SEED) for x in runs), dtype="<u8")
+    return majority(np.fromiter((hashed(b" ".join(x), SEED) for x in runs), dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """As a signed integer the bits that over half of the 64-bit ``h`` have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):  # of a long text, a part at a time
         part = h[at : at + 4096].view(np.uint8).reshape(-1, 8)
@@ -59,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fp = pa.array([simhash(x, words) for x in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fp], [*batch.schema.names, name])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return spread(docs).mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _masks(segments: int) -> list[int]:
@@ -115,7 +119,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, segme
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = materialise(rooted.join(named, "root").select("fp", "component_id"), "groups")
+    groups = materialise(rooted.join(named, "root").select("fp", "component_id"), "groups", rows.count())
     out = rows.join(groups, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -143,7 +147,7 @@ def keep_least(keyed: DataFrame, key: str, rows: DataFrame, found: DataFrame, by
     kept = rooted.groupBy(F.coalesce("root", by).alias("root")).agg(F.min("least").alias("least"))
     kept = kept.select(F.col("least.key").alias("key"))
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    kept = materialise(kept.join(again, "key").select(F.col("key").alias(key), F.col("times").alias(times)), "kept")
+    kept = materialise(kept.join(again, "key").select(F.col("key").alias(key), F.col("times").alias(times)), "kept", rows.count())
     # a merge join at every size: the rows kept grow with the table
     whole = keyed.join(kept.hint("merge"), key)
     once = whole.where(F.col(times) == 1)

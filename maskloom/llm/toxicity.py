@@ -13,6 +13,7 @@ of labelled and unlabelled texts alike, and scores all texts.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 from math import comb, log
 
 import numpy as np
@@ -20,10 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from maskloom.llm.ftrl import Ftrl, one_text, sample, sigmoid
 from maskloom.llm.quality import parts
-from maskloom.llm.util import held_out, session
+from maskloom.llm.util import held_out, session, spread
 
 SIZE = 1 << 20
 #: Labelled documents learnt from, at most; and half as many without label.
@@ -66,14 +68,21 @@ def text_keys(text: str | None) -> Counter:
     return out
 
 
+@lru_cache
+def _letters() -> np.ndarray:
+    """Of every code point whether it is a letter (1), and one of upper case (2)."""
+    return np.array([c.isalpha() + 2 * c.isupper() for c in map(chr, range(0x110000))], np.uint8)
+
+
 def pattern_votes(text: str | None) -> list[int]:
     """-1, 0 or 1 of: shouting, exclamation, symbols, one word over and over."""
     text = text or ""
     words = text.split()
-    n, letters = max(1, len(words)), max(1, sum(map(str.isalpha, text)))
-    upper = sum(map(str.isupper, text)) / letters
+    kinds = np.bincount(_letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")], minlength=4)
+    n, letters = max(1, len(words)), max(1, int(kinds[1] + kinds[3]))
+    upper = int(kinds[2] + kinds[3]) / letters
     marked = sum(w.endswith("!") for w in words) / n
-    symbols = sum(c in "#$%&*@|" for c in text) / max(1, len(text))
+    symbols = sum(map(text.count, "#$%&*@|")) / max(1, len(text))
     repeats = sum(a == b for a, b in zip(words, words[1:])) / n
     shares = ((upper, 0.5, 0.2), (marked, 0.3, 0.05), (symbols, 0.1, 0.01), (repeats, 0.3, 0.05))
     return [1 if x >= high else -1 if x < low else 0 for x, high, low in shares]
@@ -81,9 +90,7 @@ def pattern_votes(text: str | None) -> list[int]:
 
 def number(key: str) -> int:
     """A key's 32-bit hash; odd for beginnings, even for words."""
-    from xxhash import xxh64_intdigest
-
-    return (xxh64_intdigest(key.encode(), 3) & 0xFFFFFFFE) | (key[-1:] == "*")
+    return (xxh64_intdigest(key, 3) & 0xFFFFFFFE) | (key[-1:] == "*")
 
 
 class Keyed:
@@ -93,7 +100,7 @@ class Keyed:
         self.rows = []
         for text in texts:
             found = text_keys(text)
-            ids = np.fromiter(map(number, found), np.uint32, len(found))
+            ids = np.array([(xxh64_intdigest(k, 3) & 0xFFFFFFFE) | (k[-1:] == "*") for k in found], np.uint32)
             order = np.argsort(ids)
             times = np.minimum(np.fromiter(found.values(), np.int64, len(found)), 3).astype(np.uint8)
             self.rows.append((ids[order], times[order]))
@@ -104,6 +111,12 @@ class Keyed:
         return np.unique(np.concatenate([*ids, np.zeros(0, np.uint32)]), return_counts=True)
 
 
+def among(some: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Those of ``some`` that are in the sorted ``ids``."""
+    at = np.searchsorted(ids, some)
+    return some[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == some)] if len(ids) else some[:0]
+
+
 def lexicon(texts: list, keyed: Keyed, ys: dict[int, float], most: int = VOTERS) -> list[str]:
     """Keys that are clearly of one class, by how many standard errors their share
     of toxic texts is over all texts'; ties go to the shorter, then lesser, key.
@@ -144,7 +157,7 @@ def cast(texts: list, keyed: Keyed, words: list[str]) -> np.ndarray:
     voter = {number(k): j for j, k in enumerate(words)}
     ids = np.array(sorted(voter), np.uint32)
     for i, text in enumerate(texts):
-        found = [voter[k] for k in ids[np.isin(ids, keyed.rows[i][0])].tolist()]
+        found = [voter[k] for k in among(ids, keyed.rows[i][0]).tolist()]
         votes[i, found] = 1
         votes[i, len(words)] = 0 if found else -1
         votes[i, len(words) + 1 :] = pattern_votes(text)
@@ -201,7 +214,7 @@ def one_of_copies(keyed: Keyed, parts: int = 8) -> list[int]:
     rare = every[(n <= max(3, len(keyed.rows) / 100)) & (every % 2 == 0)]
     seen, kept = set(), []
     for i, (ids, _) in enumerate(keyed.rows):
-        ids = ids[np.isin(ids, rare, assume_unique=True)]
+        ids = among(ids, rare)
         if len(ids):
             least = ((ids.astype(np.uint64)[None, :] + np.uint64(1)) * seeds[:, None]).min(axis=1).tolist()
             pairs = {(j, *least[2 * j : 2 * j + 2]) for j in range(parts)}
@@ -304,8 +317,7 @@ class Scorer:
 
     def words(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """What each word adds alone; whether it may add with another."""
-        from xxhash import xxh64_intdigest as h
-
+        h = xxh64_intdigest
         plain = stems.to_pylist()
         hashes = np.fromiter((h(w, 3) for w in plain), np.uint64, len(plain))  # as number() has it
         at = ((hashes & np.uint64(0xFFFFFFFE)) >> np.uint64(1)).astype(np.int64) % SIZE
@@ -352,7 +364,7 @@ def score(docs: DataFrame, weights: np.ndarray, cut: float = CUT) -> DataFrame:
 
     spark = session(docs)
     model = spark.sparkContext.broadcast(weights)  # its size is fixed: SIZE
-    plain = docs.select(*docs.columns)
+    plain = spread(docs.select(*docs.columns))
 
     def run(batches):
         scorer = Scorer(model.value)

@@ -3,13 +3,13 @@ the shared folder, and names that cannot clash with a caller's columns."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom import shared_dir, ship
+from maskloom import new_path, ship, spread, written
 
+#: Narrow rows of a known number in a task.
+ROWS = 1 << 15
 #: Upper bounds of these settings for tables of whole documents. A column of 4096
 #: texts at once is tens of MB, an Arrow batch may be 64 MB: in every task.
 BOUNDS = {
@@ -32,16 +32,13 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/maskloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage so that
-    a lost executor repeats one step at most, and no step runs twice."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``maskloom.written``, in fewer files where ``df`` is known to hold at most
+    ``rows`` rows, and these are narrow: a small table does not take a task, and a
+    file, for each of the shuffle's partitions."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS)))
+    return written(df, name)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -66,3 +63,6 @@ def held_out():
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["session", "materialise", "new_path", "spread", "fresh", "row_hash", "held_out", "table"]

@@ -82,13 +82,16 @@ def search(rows: DataFrame, is_query: Column, k: int, strip: int, ready: Callabl
     none = F.lit(None).cast(score)
     opened = queries.select("dim", "block", F.col("first").alias("strip")).distinct()
     here = every.join(opened, ["dim", "block", "strip"], "left_semi")
-    begun = materialise(meet(queries.select("dim", "block", "first", "row", "vec_id", "v", none.alias("bound")), here), "begun")
+    begun = meet(queries.select("dim", "block", "first", "row", "vec_id", "v", none.alias("bound")), here)
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    if strips.where("strip > 0").isEmpty():  # all have met all
+        return begun.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
+    begun = materialise(begun, "begun")
     bounds = begun.groupBy("row").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("bound"))
     rest = queries.join(bounds, "row", "left")
     rest = rest.withColumn("strip", F.explode(F.filter(numbers("strips"), lambda i: i != F.col("first"))))
     rest = rest.select("dim", "block", "strip", "row", "vec_id", "v", "bound")
     found = begun.unionByName(meet(rest, every.join(opened, ["dim", "block", "strip"], "left_anti")))
-    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -230,19 +233,18 @@ class KdTree:
     def _held(self, queries: np.ndarray) -> bool:
         return self._reach(queries) < 1 << 53
 
-    def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Exact inner products; as doubles where these hold all, else as integers
-        (beyond a long's range, the long nearest to them)."""
-        reach = self._reach(query)
+    def scored(self, queries: np.ndarray):
+        """The points and the queries in the narrowest type that holds all their inner
+        products: doubles, else 64-bit integers, else integers of any size."""
+        reach = self._reach(queries)
         if reach < 1 << 53:
-            return self.vectors[rows] @ query.astype(np.float64)
+            return self.vectors, queries.astype(np.float64)
         if reach < 1 << 62:
-            return self.whole[rows] @ query
-        exact = self.whole[rows].astype(object) @ query.astype(object)
-        return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in exact], object)
+            return self.whole, queries
+        return self.whole.astype(object), queries.astype(object)
 
-    def search(self, query: np.ndarray, own: int, bound: np.ndarray, best: list, floor, k: int) -> list:
-        """Best-first: nodes by bound, until none can change ``best``, the k best
+    def search(self, points: np.ndarray, query: np.ndarray, own: int, bound: np.ndarray, best: list, floor, k: int) -> list:
+        """``points`` and ``query`` as ``scored`` gives them. Best-first: nodes by bound, until none can change ``best``, the k best
         (-score, id) so far, of this shard or others; nothing scored under ``floor``
         (None: no such) is asked for."""
         least = -floor if floor is not None else float("inf")  # of -score
@@ -258,7 +260,9 @@ class KdTree:
                 heapq.heappush(todo, (-bound[x], x))
             if not self.below[node]:
                 rows = self.order[slice(*self.spans[node])]
-                score, ids = self.scores(query, rows), self.ids[rows]
+                score, ids = points[rows] @ query, self.ids[rows]
+                if score.dtype == object:  # beyond a long's range, the nearest one
+                    score = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in score], object)
                 here = (ids != own) & (-score <= min(least, worst[0]))
                 if here.any():
                     new = sorted(zip((-score[here]).tolist(), ids[here].tolist()))[:k]
@@ -276,9 +280,9 @@ def best_by_trees(strip: list[KdTree], query_ids, queries, bounds, k):
     floors = [None if x != x else int(x) for x in bounds.tolist()]
     for tree in strip:
         for b in range(0, len(queries), 512):
-            bound = tree.bounds(queries[b : b + 512])
+            bound, (points, some) = tree.bounds(queries[b : b + 512]), tree.scored(queries[b : b + 512])
             for n in range(len(bound)):
-                best[b + n] = tree.search(queries[b + n], query_ids[b + n], bound[n], best[b + n], floors[b + n], k)
+                best[b + n] = tree.search(points, some[n], query_ids[b + n], bound[n], best[b + n], floors[b + n], k)
     at = np.repeat(np.arange(len(queries)), [len(h) for h in best])
     flat = [p for h in best for p in h]
     return at, np.array([p[1] for p in flat], np.int64), np.array([-int(p[0]) for p in flat], np.int64)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maskloom import spread, written
 from maskloom.functions import detect
-from maskloom.functions.bytesview import unview, view
+from maskloom.functions.bytesview import bind, unview, view
 from maskloom.functions.keying import display, redaction_marker
 from maskloom.operators.overlap import resolve
 from maskloom.operators.vault import Vault, numbered, with_keys
@@ -54,14 +54,14 @@ def count_by_type(findings: Column) -> Column:
 
 def splice(text: Column, findings: Column, replacement) -> Column:
     """The viewed ``text`` with each finding put as ``replacement(finding)``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    def put(fs: Column) -> Column:
+        def piece(f: Column, i: Column) -> Column:
+            at = F.when(i == 0, 0).otherwise(F.get(fs, i - 1)["end"])
+            return F.concat(F.substr(text, at + 1, f["start"] - at), replacement(f))
 
-    def put(s: Column, f: Column) -> Column:
-        gap = F.substr(text, s["at"] + 1, f["start"] - s["at"])
-        return F.struct(f["end"].alias("at"), F.concat(s["out"], F.array(gap, replacement(f))).alias("out"))
+        return F.concat(F.array_join(F.transform(fs, piece), ""), F.substr(text, F.element_at(fs, -1)["end"] + 1))
 
-    whole = lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1))
-    return F.when(F.size(findings) == 0, text).otherwise(F.aggregate(findings, start, put, whole))
+    return F.when(F.size(findings) == 0, text).otherwise(bind(findings, put))
 
 
 def inspect(artefacts: DataFrame, policy: Policy | None = None) -> DataFrame:

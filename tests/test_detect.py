@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import detect
 from maskloom.functions.bytesview import view
+from maskloom.schema import ORDER
 
 VECTORS = [
     ("contact jane.doe+test@example.co.uk today", ["jane.doe+test@example.co.uk"], "email"),
@@ -77,3 +78,32 @@ def test_nulls_and_binary(spark):
 @pytest.mark.parametrize("text, bits", [("abcdefghijklmnopqrstuvwxyz012345", 5.0), ("aaaa", 0.0)])
 def test_entropy(spark, text, bits):
     assert abs(spark.range(1).select(detect.entropy_bits(F.lit(text)).alias("e")).first()["e"] - bits) < 1e-9
+
+
+def test_detectors_of_ones_own(spark):
+    from maskloom.functions import extend
+    from maskloom.operators import mask
+    from maskloom.plans.policy import Policy
+
+    def codenames(data):
+        at = data.find(b"bluebird")
+        while at >= 0:
+            yield "Custom:codename", at, at + 8, 0.5
+            at = data.find(b"bluebird", at + 8)
+
+    mine = {"codename": extend.of_python("codename", codenames), "ticket": extend.of_pattern("Custom:ticket", "ticket", r"\bTK-[0-9]+\b", 0.9), "email": detect.email}
+    texts = ["é bluebird and TK-12, a@x.org bluebird", "", None, "none", b"\xff bluebird"]
+    for name, declared in (("codename", "Custom:codename"), ("ticket", "Custom:ticket"), ("email", "Email")):
+        extend.conforms(spark, mine[name], texts, [declared])
+    for f in detect.DETECTORS.values():
+        extend.conforms(spark, f, [*texts, "10.0.0.1 +44 20 7946 0958 GB29NWBK60161331926819 12-34-56 zQ3v9Lm2Xp7RwT6uYbN8dKfJhC1sEoAi"], list(ORDER))
+    df = spark.createDataFrame([(i, t if isinstance(t, str) else None) for i, t in enumerate(texts)], "artefact_id long, content string")
+    rows = mask.analyse(df, Policy.of({"entities": {"default": "mask"}}), mine)
+    got = {r["artefact_id"]: [(f["entity_type"], f["start"], f["end"], f["value"]) for f in r["findings"]] for r in rows.collect()}
+    assert got[0] == [("Custom:codename", 3, 11, "bluebird"), ("Custom:ticket", 16, 21, "TK-12"), ("Email", 23, 30, "a@x.org"), ("Custom:codename", 31, 39, "bluebird")]
+    assert not any(got[i] for i in (1, 2, 3))
+    for what, bad in {"type": [("Phone", 0, 1, 0.5)], "confidence": [("Email", 0, 1, 1.5)], "outside the text": [("Email", 0, 99, 0.5)]}.items():
+        with pytest.raises(AssertionError, match=what):
+            extend.conforms(spark, extend.of_python("bad", lambda data, bad=bad: bad), ["abc"], ["Email"])
+    with pytest.raises(ValueError, match="type"):
+        extend.conforms(spark, detect.email, ["abc"], ["Mail"])

@@ -73,3 +73,36 @@ def test_checksums_and_keys(spark):
     assert key("x", "Custom:a") != key("x", "Custom:b") and key("X", "Secret") != key("x", "Secret")
     long = one.select(keying.hmac_sha256(b"k" * 100, F.lit(b"m")).alias("k")).first()["k"]
     assert long == hmac.new(b"k" * 100, b"m", hashlib.sha256).hexdigest()
+
+
+def test_layers_are_verified_before_they_are_read(tmp_path):
+    first, second = tmp_path / "a.json", tmp_path / "b.json"
+    first.write_text('{"version": "v1", "signature": "s"}')
+    second.write_text('{"entities": {"default": "pass"}}')
+    seen = []
+    assert Policy.load(str(first), str(second), verify=lambda path, data: seen.append((path, data))).entity_default == "pass"
+    assert seen == [(str(first), first.read_bytes()), (str(second), second.read_bytes())]
+
+    def refuse(path, data):
+        raise PolicyError(f"{path} is not signed")
+
+    second.write_text("not even JSON")
+    with pytest.raises(PolicyError, match="not signed"):
+        Policy.load(str(second), verify=refuse)
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path):
+    from maskloom import SMALL, spread
+
+    rows = spark.range(1000).withColumn("text", F.lit("x" * 50))
+    assert spread(rows).rdd.getNumPartitions() == rows.rdd.getNumPartitions()  # of no file
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    dealt = spread(one)
+    assert SMALL and dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert dealt.exceptAll(one).count() == 0 and dealt.count() == 1000
+    rows.repartition(9).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert spread(many) is many
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/one")
+    assert spread(stream) is stream
