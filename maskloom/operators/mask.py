@@ -23,6 +23,9 @@ from maskloom.schema import BLOCK, HARD_DENY, MASK, PASS
 
 HINTS = ("path", "language_id", "mime_type")
 WORDS = "[0-9A-Za-z_]+|[^0-9A-Za-z_]+"
+#: Stand in no view: put around displays to see which of them stand beside a word.
+OPEN, CLOSE = "\u0100", "\u0101"
+GLUED = "array<struct<word:string,parts:array<string>>>"
 
 
 def _hint(df: DataFrame, name: str) -> Column:
@@ -64,6 +67,23 @@ def splice(text: Column, findings: Column, replacement) -> Column:
     return F.when(F.size(findings) == 0, text).otherwise(bind(findings, put))
 
 
+def glued_words(marked: Column) -> Column:
+    """Of a text with its displays between OPEN and CLOSE the different words in
+    which a display has other characters beside it, and their parts: every second
+    part is a display. Of a word that came to be in two ways, the first."""
+    any_ = f"[0-9A-Za-z_{OPEN}{CLOSE}]"
+    found = F.regexp_extract_all(marked, F.lit(f"(?<!{any_}){any_}*{OPEN}{any_}*"), F.lit(0))
+    more = F.filter(found, lambda w: ~F.rlike(w, F.lit(f"^{OPEN}[^{OPEN}{CLOSE}]*{CLOSE}$")))
+    plain = lambda w: F.translate(w, OPEN + CLOSE, "")
+
+    def named(ws: Column) -> Column:
+        first = lambda x: F.filter(ws, lambda w: plain(w) == x)[0]
+        return F.transform(F.array_distinct(F.transform(ws, plain)), lambda x: F.struct(x.alias("word"), F.split(first(x), f"[{OPEN}{CLOSE}]", -1).alias("parts")))
+
+    beside = F.rlike(marked, F.lit(f"[0-9A-Za-z_{CLOSE}]{OPEN}|{CLOSE}[0-9A-Za-z_]"))
+    return F.when(beside, bind(more, named)).otherwise(F.array().cast(GLUED))
+
+
 def inspect(artefacts: DataFrame, policy: Policy | None = None) -> DataFrame:
     """What was found and how it would be handled; never the values. A row a
     disjoint finding: artefact_id, entity_type, start, end, confidence, detector, class."""
@@ -117,7 +137,7 @@ def mask(
 
     Masked packs: artefact_id, text, bindings (display, mapping_ref; first use
     first), counts, raw_counts, blocked_artefacts, ns_kind, ns_id,
-    policy_version, created_at. Ordinals follow ``order`` (an integer column),
+    policy_version, created_at, glued (see ``glued_words``). Ordinals follow ``order`` (an integer column),
     then position. The vault commits before any pack is to be had."""
     policy = policy or Policy.default()
     now = int(time.time()) if now is None else now
@@ -131,12 +151,15 @@ def mask(
     shown = F.coalesce(F.map_from_entries(F.transform("used", lambda u: F.struct(u["start"], u["display"]))), F.create_map().cast("map<int,string>"))
     rows = rows.withColumn("shown", shown)
     handled = F.filter("findings", lambda f: f["class"] != PASS)
-    put = lambda f: F.when(f["class"] == MASK, F.try_element_at(F.col("shown"), f["start"])).otherwise(redaction_marker(f["entity_type"]))
-    text = splice(F.col("bytes"), handled, put)
+    display_of = lambda f: F.concat(F.lit(OPEN), F.try_element_at(F.col("shown"), f["start"]), F.lit(CLOSE))
+    put = lambda f: F.when(f["class"] == MASK, display_of(f)).otherwise(redaction_marker(f["entity_type"]))
+    read = lambda m: F.struct(F.translate(m, OPEN + CLOSE, "").alias("text"), glued_words(m).alias("glued"))
+    plain = F.struct(F.col("bytes").alias("text"), F.array().cast(GLUED).alias("glued"))
+    rows = rows.withColumn("put", F.when(F.size(handled) == 0, plain).otherwise(bind(splice(F.col("bytes"), handled, put), read)))
     bindings = F.array_distinct(F.transform("used", lambda u: F.struct(u["display"].alias("display"), u["mapping_ref"].alias("mapping_ref"))))
     return rows.select(
         "artefact_id",
-        unview(F.when(F.col("blocked"), "").otherwise(text)).alias("text"),
+        unview(F.when(F.col("blocked"), "").otherwise(F.col("put.text"))).alias("text"),
         F.coalesce(bindings, F.array().cast("array<struct<display:string,mapping_ref:string>>")).alias("bindings"),
         count_by_type(handled).alias("counts"),
         count_by_type(F.col("raw")).alias("raw_counts"),
@@ -145,20 +168,34 @@ def mask(
         F.lit(ns_id).alias("ns_id"),
         F.lit(policy.version).alias("policy_version"),
         F.lit(now).cast("long").alias("created_at"),
+        F.col("put.glued").alias("glued"),
     )
 
 
-def substitute(text: Column, values: Column) -> Column:
+def glued_of(packs: DataFrame) -> Column:
+    """The words of ``packs`` that hold displays, or none where packs name none."""
+    none = F.array().cast(GLUED)
+    return F.coalesce(F.col("glued"), none) if "glued" in packs.columns else none
+
+
+def substitute(text: Column, values: Column, glued: Column | None = None) -> Column:
     """``text`` with each whole word that is a key of the map put as its value,
-    in one pass: what is put in is not looked at again."""
+    in one pass: what is put in is not looked at again. So are the displays within
+    the words ``glued``; any other word that holds a display stays."""
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(values, w), w)), "")
+    of = lambda w: F.try_element_at(values, w)
+    if glued is None:
+        return F.array_join(F.transform(words, lambda w: F.coalesce(of(w), w)), "")
+    part = lambda x, i: F.when(i % 2 == 1, F.coalesce(of(x), x)).otherwise(x)
+    whole = F.map_from_entries(F.transform(glued, lambda g: F.struct(g["word"], F.array_join(F.transform(g["parts"], part), ""))))
+    return bind(whole, lambda m: F.array_join(F.transform(words, lambda w: F.coalesce(of(w), F.try_element_at(m, w), w)), ""))
 
 
 def rehydrate(packs: DataFrame, vault: Vault, destination: str, roles=(), policy: Policy | None = None, now: int | None = None) -> DataFrame:
     """Per pack artefact_id, allowed, text (null if denied), unresolved (displays
     left in place). A denial does not touch the vault. Displays that are not one
-    word are refused, as no mask makes them."""
+    word are refused, as no mask makes them. A display within a longer word is
+    restored where the pack names that word (column glued)."""
     policy = policy or Policy.default()
     now = int(time.time()) if now is None else now
     if destination in HARD_DENY or not policy.demask_allowed(destination, roles):
@@ -171,17 +208,20 @@ def rehydrate(packs: DataFrame, vault: Vault, destination: str, roles=(), policy
         F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("display", "value")))).alias("values"),
         F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.col("display")))).alias("unresolved"),
     )
-    out = packs.select("artefact_id", "text").join(found, "artefact_id", "left")
+    out = packs.select("artefact_id", "text", glued_of(packs).alias("glued")).join(found, "artefact_id", "left")
     values = F.coalesce("values", F.create_map().cast("map<string,string>"))
     return out.select(
-        "artefact_id", F.lit(True).alias("allowed"), substitute(F.col("text"), values).alias("text"), F.coalesce("unresolved", F.array().cast("array<string>")).alias("unresolved")
+        "artefact_id", F.lit(True).alias("allowed"), substitute(F.col("text"), values, F.col("glued")).alias("text"), F.coalesce("unresolved", F.array().cast("array<string>")).alias("unresolved")
     )
 
 
 def restorations(packs: DataFrame, restored: DataFrame) -> DataFrame:
     """Per pack and display how often it stood before and stands after: a display
     that did not become rarer was not restored."""
-    times = lambda text, d: F.size(F.filter(F.regexp_extract_all(text, F.lit("[0-9A-Za-z_]+"), F.lit(0)), lambda w: w == d))
-    both = packs.select("artefact_id", F.col("text").alias("masked"), F.explode("bindings.display").alias("display")).join(restored.select("artefact_id", "text"), "artefact_id")
+    displays = lambda g: F.filter(g["parts"], lambda x, i: i % 2 == 1)
+    holds = lambda w, d: F.exists("glued", lambda g: (g["word"] == w) & F.array_contains(displays(g), d))
+    times = lambda text, d: F.size(F.filter(F.regexp_extract_all(text, F.lit("[0-9A-Za-z_]+"), F.lit(0)), lambda w: (w == d) | holds(w, d)))
+    both = packs.select("artefact_id", F.col("text").alias("masked"), glued_of(packs).alias("glued"), F.explode("bindings.display").alias("display"))
+    both = both.join(restored.select("artefact_id", "text"), "artefact_id")
     out = both.select("artefact_id", "display", times(F.col("masked"), F.col("display")).alias("before"), times(F.col("text"), F.col("display")).alias("after"))
     return out.withColumn("restored", F.col("after") < F.col("before"))

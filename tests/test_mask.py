@@ -39,6 +39,28 @@ def test_mask_and_restore(spark, vault):
     assert mask.restorations(held, spark.createDataFrame(list(back.values()), "artefact_id long, allowed boolean, text string, unresolved array<string>")).where("not restored").count() == 0
 
 
+def test_displays_beside_words_are_restored(spark, vault, tmp_path):
+    """A value within a longer word, or beside another, leaves a display that is no
+    word of its own; what looks like one but was not made by the mask stays."""
+    policy = Policy.of({"entities": {"default": "mask"}, "destinations": {"local-patch": {"demask_allowed": True}}})
+    texts = {1: "call 555-9331 now", 2: "+1 (836) 555-9331 4913187196670932 53.121.55.90 que", 3: "jane@x.org EMAIL_0015 xEMAIL_001 é+1 (836) 555-9331é", 4: "a 10.0.0.1 b", 5: "id_555-9331_x and 555-9331"}
+    made = mask.mask(table(spark, *((i, t, None) for i, t in texts.items())), vault, "repo", "acme", policy, now=1)
+    assert [r["artefact_id"] for r in made.where(F.size("glued") > 0).orderBy("artefact_id").collect()] == [2, 5]
+    packs.save(made, str(tmp_path / "packs"))
+    for held in (made, packs.load(spark, str(tmp_path / "packs"))):
+        back = mask.rehydrate(held, vault, "local-patch", policy=policy, now=2)
+        same = {r["artefact_id"]: r["text"] for r in back.collect()}
+        flat = lambda t: t.translate(str.maketrans("", "", " .()-"))
+        assert {i: flat(t) for i, t in same.items()} == {i: flat(t) for i, t in texts.items()}
+        assert mask.restorations(held, back).where("not restored").count() == 0
+    bad = made.withColumn("glued", F.array(F.struct(F.lit("ab").alias("word"), F.array(F.lit("a")).alias("parts"))))
+    packs.save(bad, str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="trusted"):
+        packs.load(spark, str(tmp_path / "bad")).select("text").collect()
+    texts = spark.createDataFrame([("x\u0100A_1\u0101\u0100B_2\u0101 \u0100A_1\u0101 A_1\u0100B_2\u0101",)], "t string").select(mask.glued_words(F.col("t")).alias("g"))
+    assert [(g["word"], g["parts"]) for g in texts.first()["g"]] == [("xA_1B_2", ["x", "A_1", "", "B_2", ""]), ("A_1B_2", ["A_1", "B_2", ""])]
+
+
 def test_reopen_ttl_purge(spark, vault):
     mask.mask(table(spark, (1, "a@x.org b@x.org", None)), vault, "repo", "r", now=10, ttl=5)
     again = Vault(spark, vault.path, vault.key, vault.salt)
