@@ -76,8 +76,10 @@ def _signed(x: int) -> int:
 
 
 def ring_passes(apart, bits: int = BITS, segments: int = SEGMENTS):
-    """Whether the xor ``apart`` has a segment all of whose chains stay in budget."""
-    d = [F.bit_count(apart.bitwiseAND(F.lit(_signed(m)))) for m in _masks(segments)]
+    """Whether the xor ``apart`` has a segment all of whose chains stay in budget.
+    Of a list of xors, segments are those of all of them together."""
+    words = apart if isinstance(apart, list) else [apart]
+    d = [reduce(lambda x, y: x + y, [F.bit_count(w.bitwiseAND(F.lit(_signed(m)))) for w in words]) for m in _masks(segments)]
     starts = []
     for i in range(segments):
         chain, tests = None, []

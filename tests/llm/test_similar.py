@@ -59,3 +59,40 @@ def test_stage_drops_more_than_op9(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 40
     assert drop_near_duplicates(docs).count() > 40
+
+
+def test_candidates_meet_in_segments_of_the_ring():
+    """The join keys are segments of SimHash fingerprints: nearly all pairs of
+    similarity 0.8 have an equal one, pairs of short texts always an equal key."""
+    import numpy as np
+
+    from maskloom.llm import similar
+
+    rng, missed = np.random.default_rng(3), 0
+    for rows in (1000, 50_000, 10_000_000):
+        bits, number = similar.ring_of(rows)
+        words = -(-bits * number // 64)
+        keys = lambda h: set(similar.segments(similar.fingerprint(h, words), bits, number))  # noqa: B023, E731
+        for _ in range(150):
+            a = np.sort(rng.integers(0, 1 << 63, 180, dtype=np.uint64))
+            b = np.sort(np.concatenate([rng.permutation(a)[20:], rng.integers(0, 1 << 63, 20, dtype=np.uint64)]))
+            missed += not keys(a) & keys(b)
+            assert len(keys(a)) == number
+    assert missed <= 1
+    for n in range(2, 10):
+        a = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        near = [np.delete(a, 1)] if n > 4 else [a]
+        near += [np.sort(np.append(a[1:], np.uint64(5)))] if n == 9 else []
+        assert all(set(similar.short_keys(a, 9)) & set(similar.short_keys(b, 9)) for b in near)
+    assert similar.short_keys(np.arange(10, dtype=np.uint64), 9) == []
+
+
+def test_stage_finds_short_near_copies(spark):
+    """Five shingles and four of them (similarity 0.8), nine and nine with eight in common."""
+    texts = []
+    for k in range(150):
+        words = [f"w{k}_{i}" for i in range(14)]
+        texts += [(4 * k, " ".join(words[:9])), (4 * k + 1, " ".join(words[:8])), (4 * k + 2, " ".join(["y", *words[1:13]])), (4 * k + 3, " ".join(["z", *words[1:13]]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert kept == brute_kept(texts) and len(kept) == 300
