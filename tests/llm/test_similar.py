@@ -96,3 +96,48 @@ def test_stage_finds_short_near_copies(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
     assert kept == brute_kept(texts) and len(kept) == 300
+
+
+def test_families_of_unlike_variants_make_few_candidates(spark, monkeypatch):
+    """Variants of one text, similar by 0.4 to 0.7 each two, with a few similar pairs: candidates
+    do not grow with the square of a family, and the joins' code is small enough to compile."""
+    from maskloom.llm import similar
+
+    draw, texts = random.Random(7), []
+    words = [f"w{draw.randrange(5000)}" for _ in range(200)]
+    for k in range(150):
+        copy = list(words)
+        for at in draw.sample(range(200), 10):
+            copy[at] = f"x{k}_{at}"
+        texts.append((2 * k, " ".join(copy)))
+        if k % 10 == 0:
+            copy[100] = "y"
+            texts.append((2 * k + 1, " ".join(copy)))
+    made, write = [], similar.materialise
+
+    def counted(df, name, rows=None):
+        out = write(df, name, rows)
+        if name == "near":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "materialise", counted)
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert kept == brute_kept(texts) and len(kept) == 150
+    assert sum(made) <= 30 * 29  # all pairs of the 30 that have a similar one, in two rounds; of 165 there are 13,530
+
+
+def test_shared_shingles_are_counted_by_class(spark):
+    """Exact copies are one class; a shingle counts where another class has it."""
+    from maskloom.llm import similar
+
+    texts = ["a b c d e f", "A b  c d e f", "b c d e f g", "h i j k l m", "", None, "b c d e f"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["class"]: r["c"] for r in similar._shared(docs, 6).collect()}
+    of = {t: similar.class_of(similar.shingles(t)) for t in texts if t}
+    assert got == {of["a b c d e f"]: 1, of["b c d e f g"]: 1, of["b c d e f"]: 1}
